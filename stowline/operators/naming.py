@@ -33,9 +33,9 @@ def unique_names(requests: DataFrame, occupied: DataFrame, order: list[str]) ->
     """``requests`` (directory, name, ...) plus ``final_name``.
 
     ``occupied`` has (directory, name) of what exists. ``order`` names columns
-    of ``requests`` that order it totally.
+    of ``requests`` that order it totally. ``requests`` is read several times,
+    so a costly one should be staged.
     """
-    requests = stage(requests, "requests")
     hot = hot_keys(requests, NAME)
     ranked = number_within(requests, NAME, order, "_rank", hot=hot)
     firsts = stage(ranked.filter("_rank = 1").select(*NAME, *order), "names")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowline import settings
 from stowline.functions.digests import content_digest, digest_by_path
 from stowline.functions.names import scan_key
-from stowline.operators.matching import few, keep_matching
+from stowline.operators.matching import keep_matching
 from stowline.operators.ordinal import number_within, with_ordinal
-from stowline.sources.staging import stage
+from stowline.sources.staging import measures_of, most_rows, stage
 
 CHUNK_MEMBERS = 100_000  # members of one group joined in one task
 
@@ -28,14 +29,15 @@ def with_shared_size(files: DataFrame) -> DataFrame | None:
     The shorter of the two lists, shared or unique sizes, is broadcast so that
     contents are not shuffled. None when neither list is short enough.
     """
-    sizes = stage(size_counts(files), "sizes")
-    shared = sizes.filter("n_files >= 2").select("size")
-    if few(shared):
-        return files.join(F.broadcast(shared), "size", "left_semi")
-    unique = sizes.filter("n_files = 1").select("size")
-    if few(unique):
-        return files.join(F.broadcast(unique), "size", "left_anti")
-    return None
+    sizes = stage(size_counts(files), "sizes", shared=F.count_if(F.col("n_files") >= 2),
+                  unique=F.count_if(F.col("n_files") == 1))
+    limit = settings.broadcast_rows(files.sparkSession)
+    shared, unique = (measures_of(sizes)[m] for m in ("shared", "unique"))
+    if min(shared, unique) > limit:
+        return None
+    if shared <= unique:
+        return files.join(F.broadcast(sizes.filter("n_files >= 2").select("size")), "size", "left_semi")
+    return files.join(F.broadcast(sizes.filter("n_files = 1").select("size")), "size", "left_anti")
 
 
 def digest_table(files: DataFrame, algorithm: str | None = None) -> DataFrame:
@@ -86,7 +88,7 @@ def digest_members(digests: DataFrame) -> DataFrame:
     """Members of duplicate groups with ``member_no`` in scan order and ``n_files``."""
     found = digests.filter("digest is not null").drop("error")
     return (number_within(found, ["digest"], [scan_key(F.col("rel_path")), "path"],
-                          "member_no", count_as="n_files")
+                          "member_no", count_as="n_files", at_most=most_rows(digests))
             .filter("n_files >= 2"))
 
 
@@ -98,9 +100,9 @@ def groups_of(members: DataFrame) -> DataFrame:
         scan_key(F.col("rel_path")).alias("first_seen"))
 
 
-def number_groups(groups: DataFrame) -> DataFrame:
+def number_groups(groups: DataFrame, at_most: int | None = None) -> DataFrame:
     """``group_no``: largest files first, ties in scan order of the first member."""
-    return with_ordinal(groups, [F.desc("size"), F.asc("first_seen")], "group_no")
+    return with_ordinal(groups, [F.desc("size"), F.asc("first_seen")], "group_no", at_most)
 
 
 def join_groups(members: DataFrame, groups: DataFrame) -> DataFrame:

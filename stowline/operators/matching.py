@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowline import settings
+from stowline.sources.staging import most_rows
 
 
-def few(keys: DataFrame) -> bool:
-    """Whether the keys may be broadcast; counts no further than the limit."""
-    limit = settings.broadcast_rows(keys.sparkSession)
-    return keys.limit(limit + 1).count() <= limit
-
-
-def keep_matching(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def keep_matching(rows: DataFrame, keys: DataFrame, on: list[str],
+                  most_keys: int | None = None) -> DataFrame:
     """Rows whose ``on`` columns occur in ``keys``.
 
-    Beyond the limit both sides shuffle and the adaptive skew join splits a hot
-    key of ``rows``.
+    ``most_keys`` bounds the rows of ``keys`` when the caller knows; otherwise
+    they are counted, no further than the limit. Beyond it both sides shuffle
+    and the adaptive skew join splits a hot key of ``rows``.
     """
+    limit = settings.broadcast_rows(rows.sparkSession)
     wanted = keys.select(*on).distinct()
-    return rows.join(F.broadcast(wanted) if few(wanted) else wanted, on, "left_semi")
+    bound = most_keys if most_keys is not None else most_rows(keys)
+    small = bound is not None and bound <= limit
+    if not small:
+        small = wanted.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(wanted) if small else wanted, on, "left_semi")

@@ -9,7 +9,7 @@ from stowline.functions.names import base_name, extension, parent_dir
 from stowline.operators.matching import keep_matching
 from stowline.operators.naming import unique_names
 from stowline.operators.ordinal import number_within
-from stowline.sources.staging import stage
+from stowline.sources.staging import most_rows, stage
 
 
 def resolve_moves(moves: DataFrame, present: DataFrame, order: list[str],
@@ -22,12 +22,13 @@ def resolve_moves(moves: DataFrame, present: DataFrame, order: list[str],
     of a source finds it.
     """
     moves = stage(moves, "moves")
+    total = most_rows(moves)
     sources = moves.select(F.col("source_path").alias("path"))
-    found = keep_matching(present.select("path"), sources, ["path"]).distinct().select(
+    found = keep_matching(present.select("path"), sources, ["path"], total).distinct().select(
         F.col("path").alias("source_path"), F.lit(True).alias("_found"))
     checked = moves.join(found, "source_path", "left")
     if not sources_unique:
-        checked = number_within(checked, ["source_path"], order, "_turn").withColumn(
+        checked = number_within(checked, ["source_path"], order, "_turn", at_most=total).withColumn(
             "_found", F.when(F.col("_turn") == 1, F.col("_found"))).drop("_turn")
     checked = stage(checked, "checked")
 
@@ -37,8 +38,8 @@ def resolve_moves(moves: DataFrame, present: DataFrame, order: list[str],
     folders = requests.select(F.col("directory"))
     occupied = keep_matching(
         present.select(parent_dir(F.col("path")).alias("directory"),
-                       base_name(F.col("path")).alias("name")), folders, ["directory"])
-    named = unique_names(requests, occupied, order).withColumn(
+                       base_name(F.col("path")).alias("name")), folders, ["directory"], total)
+    named = unique_names(requests, occupied, order, total).withColumn(
         "final_path", F.concat_ws("/", "directory", "final_name")).select(*moves.columns, "final_path")
     lost = checked.filter("_found is null").drop("_found").withColumn(
         "final_path", F.lit(None).cast("string"))

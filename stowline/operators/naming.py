@@ -22,36 +22,42 @@ from pyspark.sql import functions as F
 
 from stowline.functions.names import family, numbered, slots_of
 from stowline.operators.matching import keep_matching
-from stowline.operators.ordinal import hot_keys, number_within
-from stowline.sources.staging import stage
+from stowline.operators.ordinal import number_within
+from stowline.sources.staging import measures_of, most_rows, stage
 
 NAME = ["directory", "name"]
 _SLOT = [*NAME, "_slot"]
 
 
-def unique_names(requests: DataFrame, occupied: DataFrame, order: list[str]) -> DataFrame:
+def unique_names(requests: DataFrame, occupied: DataFrame, order: list[str],
+                 most_requests: int | None = None) -> DataFrame:
     """``requests`` (directory, name, ...) plus ``final_name``.
 
     ``occupied`` has (directory, name) of what exists. ``order`` names columns
     of ``requests`` that order it totally. ``requests`` is read several times,
-    so a costly one should be staged.
+    so a costly one should be staged; ``most_requests`` bounds its rows when the
+    caller knows.
     """
-    hot = hot_keys(requests, NAME)
-    ranked = number_within(requests, NAME, order, "_rank", hot=hot)
-    firsts = stage(ranked.filter("_rank = 1").select(*NAME, *order), "names")
+    asked = most_rows(requests) if most_requests is None else most_requests
+    ranked = number_within(requests, NAME, order, "_rank", at_most=asked)
+    has_base = F.size(slots_of(F.col("name"))) > 1
+    firsts = stage(ranked.filter("_rank = 1").select(*NAME, *order), "names",
+                   numbered=F.count_if(has_base))
 
     taken = stage(_requested_slots(occupied, firsts), "slots")
-    pairs, tangled = _interacting(firsts, taken)
+    pairs = tangled = None
+    if measures_of(firsts)["numbered"]:
+        pairs, tangled = _interacting(firsts, taken)
     simple = ranked
     if tangled is not None:
         families = tangled.select("directory", "_family")
         simple = ranked.withColumn("_family", family(F.col("name"))).join(
             families, ["directory", "_family"], "left_anti").drop("_family")
     if pairs is not None:
-        taken = stage(taken.unionByName(
-            _settle_shared(pairs, requests, taken, order)).distinct(), "slots")
+        settled = _settle_shared(pairs, requests, taken, order, asked)
+        taken = stage(taken.unionByName(settled).distinct(), "slots")
 
-    result = _free_slots(simple, taken, hot).withColumn(
+    result = _free_slots(simple, taken, asked).withColumn(
         "final_name", numbered(F.col("name"), F.col("_position") - 1)).drop("_position")
     if tangled is not None:
         result = result.unionByName(_one_by_one(requests, occupied, families, order))
@@ -65,17 +71,15 @@ def _requested_slots(occupied: DataFrame, firsts: DataFrame) -> DataFrame:
     return keep_matching(slots, firsts, NAME).distinct()
 
 
-def _free_slots(ranked: DataFrame, taken: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _free_slots(ranked: DataFrame, taken: DataFrame, asked: int | None) -> DataFrame:
     """``_position`` of each request among requests and taken slots of its name."""
-    hot_taken = hot_keys(taken, NAME)
-    lower = number_within(taken, NAME, ["_slot"], "_nth", hot=hot_taken)
+    lower = number_within(taken, NAME, ["_slot"], "_nth")
     marks = lower.select(*NAME, (F.col("_slot") - F.col("_nth") + 1).alias("_free_below"),
                          F.lit(False).alias("_asks"))
     asks = ranked.withColumns({"_free_below": F.col("_rank") - 1, "_asks": F.lit(True)}).drop("_rank")
     merged = asks.unionByName(marks, allowMissingColumns=True)
-    # With neither part hot, a merged group is at most twice the limit.
-    hot_merged = None if hot is None and hot_taken is None else "find"
-    return (number_within(merged, NAME, ["_free_below", "_asks"], "_position", hot=hot_merged)
+    both = None if asked is None else asked + most_rows(taken)
+    return (number_within(merged, NAME, ["_free_below", "_asks"], "_position", at_most=both)
             .filter("_asks").drop("_asks", "_free_below"))
 
 
@@ -89,25 +93,22 @@ def _interacting(firsts: DataFrame, taken: DataFrame):
     when empty.
     """
     order = [c for c in firsts.columns if c not in NAME]
-    numbered_names = firsts.withColumn("_s", F.explode(F.slice(slots_of(F.col("name")), 2, 2))).select(
+    family_of = family(F.col("name"))
+    by_base = firsts.withColumn("_s", F.explode(F.slice(slots_of(F.col("name")), 2, 2))).select(
         "directory", F.col("_s.base").alias("name"), F.col("_s.slot").alias("_slot"),
         F.col("name").alias("child"), *order)
-    if numbered_names.isEmpty():
-        return None, None
-    family_of = family(F.col("name"))
-    tangled = (firsts.withColumn("_family", family_of).filter(F.col("_family").endswith("."))
-               .groupBy("directory", "_family").agg(F.count("*").alias("_n")).filter("_n > 1"))
     existing = taken.filter("_slot = 0").select("directory", F.col("name").alias("child"))
-    pairs = (numbered_names.filter(~family_of.endswith("."))
-             .join(firsts.select(*NAME), NAME, "left_semi")
-             .join(existing, ["directory", "child"], "left_anti"))
-    pairs = stage(pairs, "pairs")
-    tangled = stage(tangled, "tangled")
-    return (None if pairs.isEmpty() else pairs), (None if tangled.isEmpty() else tangled)
+    pairs = stage(by_base.filter(~family_of.endswith("."))
+                  .join(firsts.select(*NAME), NAME, "left_semi")
+                  .join(existing, ["directory", "child"], "left_anti"), "pairs")
+    tangled = stage(firsts.withColumn("_family", family_of).filter(F.col("_family").endswith("."))
+                    .groupBy("directory", "_family").agg(F.count("*").alias("_n"))
+                    .filter("_n > 1"), "tangled")
+    return tuple(t if most_rows(t) else None for t in (pairs, tangled))
 
 
 def _settle_shared(pairs: DataFrame, requests: DataFrame, taken: DataFrame,
-                   order: list[str]) -> DataFrame:
+                   order: list[str], asked: int | None) -> DataFrame:
     """Slots that the first come of a shared name takes away, as (directory, name, _slot).
 
     For a pair of base b and child c = slot k of b, let ``_asked`` be the
@@ -121,13 +122,16 @@ def _settle_shared(pairs: DataFrame, requests: DataFrame, taken: DataFrame,
 
     by_time = number_within(pairs, NAME, order, "_nth_asked")
     both = base_requests.unionByName(by_time, allowMissingColumns=True)
-    asked = (number_within(both, NAME, order, "_pos").filter("child is not null")
+    n_pairs = most_rows(pairs)
+    timed = (number_within(both, NAME, order, "_pos",
+                           at_most=None if asked is None else asked + n_pairs)
+             .filter("child is not null")
              .withColumn("_asked", F.col("_pos") - F.col("_nth_asked"))
              .drop("_pos", "_nth_asked", *order))
 
-    by_slot = number_within(asked, NAME, ["_slot"], "_nth")
+    by_slot = number_within(timed, NAME, ["_slot"], "_nth", at_most=n_pairs)
     both = base_taken.unionByName(by_slot, allowMissingColumns=True)
-    pairs = (number_within(both, NAME, ["_slot"], "_pos").filter("child is not null")
+    pairs = (number_within(both, NAME, ["_slot"], "_pos", at_most=most_rows(taken) + n_pairs).filter("child is not null")
              .withColumn("_free", F.col("_slot") - (F.col("_pos") - F.col("_nth")))
              .drop("_pos")
              .withColumn("_family", family(F.col("name"))))

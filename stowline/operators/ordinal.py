@@ -1,4 +1,4 @@
-"""Row numbers that never put a large group, or the whole table, in one task."""
+"""Row numbers that never put a large group, or the whole of a large table, in one task."""
 
 from __future__ import annotations
 
@@ -6,40 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowline import settings
-from stowline.sources.staging import stage
+from stowline.sources.staging import most_rows, stage
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def with_ordinal(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+def with_ordinal(df: DataFrame, order: list[Column | str], out: str,
+                 at_most: int | None = None) -> DataFrame:
     """``df`` plus its 1-based position in the whole table under ``order``.
 
-    ``order`` must be total for the numbers to be repeatable.
+    ``order`` must be total for the numbers to be repeatable. ``at_most`` bounds
+    the rows when the caller knows; a table known to be small is numbered in one
+    task.
     """
+    if _fits_a_task(df, at_most):
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     return _number_by_range(df, [], order, out)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame | None:
     """Keys of groups too large for one task, with sizes; None when there are none.
 
     Counting combines before the shuffle. Each hot key stands for more than
     ``hot_rows`` rows, so there are at most rows / hot_rows of them and they are
     broadcast.
     """
+    if _fits_a_task(df, at_most):
+        return None
     limit = settings.hot_rows(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_hot_n")).filter(F.col("_hot_n") > limit)
-    return None if sizes.isEmpty() else stage(sizes, "hot")
+    hot = stage(df.groupBy(*keys).agg(F.count("*").alias("_hot_n"))
+                .filter(F.col("_hot_n") > limit), "hot")
+    return hot if most_rows(hot) else None
 
 
 def number_within(df: DataFrame, keys: list[str], order: list[Column | str], out: str,
-                  count_as: str | None = None, hot: DataFrame | None | str = "find") -> DataFrame:
+                  count_as: str | None = None, at_most: int | None = None) -> DataFrame:
     """``df`` plus the 1-based position of each row in its group, and the group's size.
 
     Ordinary groups take one window. Hot groups are sorted by range over many
-    tasks. ``hot`` takes the result of :func:`hot_keys` when it is known already.
+    tasks.
     """
-    if isinstance(hot, str):
-        hot = hot_keys(df, keys)
+    hot = hot_keys(df, keys, at_most)
     if hot is None:
         return _number_by_window(df, keys, order, out, count_as)
     small = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
@@ -49,6 +56,11 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column | str], out
     return _number_by_window(small, keys, order, out, count_as).unionByName(large.drop("_hot_n"))
 
 
+def _fits_a_task(df: DataFrame, at_most: int | None) -> bool:
+    bound = at_most if at_most is not None else most_rows(df)
+    return bound is not None and bound <= settings.hot_rows(df.sparkSession)
+
+
 def _number_by_window(df, keys, order, out, count_as):
     group = Window.partitionBy(*keys)
     extra = {out: F.row_number().over(group.orderBy(*order)).cast("bigint")}

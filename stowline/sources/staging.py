@@ -1,8 +1,9 @@
 """Intermediate tables in the shared folder the cluster names.
 
 A staged table cuts lineage, survives lost executors, and is read back column
-by column. ``drop_staged`` removes an application's tables when its results
-have been written.
+by column. Its rows are counted while it is written, so later steps know an
+upper bound without a pass of their own. ``drop_staged`` removes an
+application's tables when its results have been written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -28,10 +30,25 @@ def staging_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stowline-{app}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **measures: Column) -> DataFrame:
+    """Write ``df`` and read it back, taking ``measures`` (aggregates) on the way."""
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"),
+               *[m.alias(n) for n, m in measures.items()]).write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_measures = seen.get
+    return table
+
+
+def measures_of(table: DataFrame) -> dict[str, int]:
+    """``rows`` and the further measures of a table as :func:`stage` returned it."""
+    return table.staged_measures
+
+
+def most_rows(table: DataFrame) -> int | None:
+    """Exact row count of a staged table, None for any other DataFrame."""
+    return vars(table).get("staged_measures", {}).get("rows")
 
 
 def drop_staged(spark: SparkSession) -> None:

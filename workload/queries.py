@@ -19,7 +19,7 @@ from stowline.operators.scope import in_scope, without_hidden, without_ignored
 from stowline.plans import organize, quarantine, reports, undo
 from stowline.sources import oplog
 from stowline.sources.inventory import file_record, read_inventory
-from stowline.sources.staging import stage, staging_root
+from stowline.sources.staging import most_rows, stage, staging_root
 from workload.fixtures import Lake
 
 ROOT = "/lake"
@@ -141,7 +141,7 @@ def dup_group_numbers(spark, d):
 
 def dup_report(spark, d):
     members = stage(dup.digest_members(_digests(Lake(spark, d))), "members")
-    groups = dup.number_groups(dup.groups_of(members))
+    groups = dup.number_groups(dup.groups_of(members), at_most=most_rows(members))
     return reports.duplicates_report(members, groups, ROOT)
 
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A suffix is the text from the last dot, unless that dot starts or ends the name.
-_SUFFIX = r"(?s)^.+(\.[^.]+)\z"
-_NUMBERED_BEFORE_SUFFIX = r"(?s)^(.+) \(([1-9][0-9]*)\)(\.[^.]+)\z"
-_NUMBERED_AT_END = r"(?s)^(.+) \(([1-9][0-9]*)\)\z"
+_NUMBERED = r"(?s) \([1-9][0-9]*\)(\.[^.]+)?\z"
+_NUMBERED_AT_END = r"(?s) \([1-9][0-9]*\)\z"
 _COUNTERS = r" \([0-9]+\)"
 
 
@@ -17,15 +15,22 @@ def base_name(path: Column) -> Column:
 
 
 def parent_dir(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*\z", "")
+    return F.left(path, F.length(path) - F.length(base_name(path)) - 1)
+
+
+def _after_dot(name: Column) -> Column:
+    """Text after the last dot, empty if that dot starts or ends the name."""
+    return F.when(F.substring(name, 2, 1 << 30).contains("."),
+                  F.substring_index(name, ".", -1)).otherwise("")
 
 
 def suffix(name: Column) -> Column:
-    return F.regexp_extract(name, _SUFFIX, 1)
+    text = _after_dot(name)
+    return F.when(text == "", "").otherwise(F.concat(F.lit("."), text))
 
 
 def extension(name: Column) -> Column:
-    return F.lower(F.ltrim(suffix(name), F.lit(".")))
+    return F.lower(_after_dot(name))
 
 
 def scan_key(rel_path: Column) -> Column:
@@ -57,17 +62,22 @@ def slots_of(name: Column) -> Column:
     as ``y (2). (1)`` has two such bases, hence an array; a counter beyond a
     long is never reached and yields no slot.
     """
-    mid = F.struct(
-        F.concat(F.regexp_extract(name, _NUMBERED_BEFORE_SUFFIX, 1),
-                 F.regexp_extract(name, _NUMBERED_BEFORE_SUFFIX, 3)).alias("base"),
-        F.regexp_extract(name, _NUMBERED_BEFORE_SUFFIX, 2).try_cast("bigint").alias("slot"))
-    tail_base = F.regexp_extract(name, _NUMBERED_AT_END, 1)
-    tail = F.struct(
-        tail_base.alias("base"),
-        F.when(suffix(tail_base) == "",
-               F.regexp_extract(name, _NUMBERED_AT_END, 2).try_cast("bigint")).alias("slot"))
     own = F.struct(name.alias("base"), F.lit(0).cast("bigint").alias("slot"))
-    return F.filter(F.array(own, mid, tail), lambda s: s["slot"].isNotNull())
+
+    def cut(tail: Column) -> Column:
+        """``tail`` ends the name: a counter and perhaps a suffix."""
+        digits = F.substring_index(F.substring(tail, 3, 1 << 30), ")", 1)
+        end = F.substring(tail, F.length(digits) + F.lit(4), F.length(tail))
+        stem = F.left(name, F.length(name) - F.length(tail))
+        fits = (tail != "") & (stem != "") & ((end != "") | (suffix(stem) == ""))
+        return F.struct(F.concat(stem, end).alias("base"),
+                        F.when(fits, digits.try_cast("bigint")).alias("slot"))
+
+    # The first tail is the longest; a shorter one differs only after a dot.
+    tails = F.array_distinct(F.array(F.regexp_extract(name, _NUMBERED, 0),
+                                     F.regexp_extract(name, _NUMBERED_AT_END, 0)))
+    bases = F.filter(F.transform(tails, cut), lambda s: s["slot"].isNotNull())
+    return F.when(name.contains(" ("), F.concat(F.array(own), bases)).otherwise(F.array(own))
 
 
 def family(name: Column) -> Column:

@@ -42,7 +42,8 @@ def unique_names(requests: DataFrame, occupied: DataFrame, order: list[str],
     ranked = number_within(requests, NAME, order, "_rank", at_most=asked)
     has_base = F.size(slots_of(F.col("name"))) > 1
     firsts = stage(ranked.filter("_rank = 1").select(*NAME, *order), "names",
-                   numbered=F.count_if(has_base))
+                   numbered=F.count_if(has_base),
+                   dotted=F.count_if(family(F.col("name")).endswith(".")))
 
     taken = stage(_requested_slots(occupied, firsts), "slots")
     pairs = tangled = None
@@ -101,6 +102,8 @@ def _interacting(firsts: DataFrame, taken: DataFrame):
     pairs = stage(by_base.filter(~family_of.endswith("."))
                   .join(firsts.select(*NAME), NAME, "left_semi")
                   .join(existing, ["directory", "child"], "left_anti"), "pairs")
+    if not measures_of(firsts)["dotted"]:
+        return pairs if most_rows(pairs) else None, None
     tangled = stage(firsts.withColumn("_family", family_of).filter(F.col("_family").endswith("."))
                     .groupBy("directory", "_family").agg(F.count("*").alias("_n"))
                     .filter("_n > 1"), "tangled")

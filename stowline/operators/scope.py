@@ -11,9 +11,8 @@ from stowline.settings import IGNORED_NAMES
 
 def without_ignored(files: DataFrame, extra: list[str] = ()) -> DataFrame:
     """No component under the root, the file's own name included, is an ignored name."""
-    names = F.array_union(F.array(*map(F.lit, IGNORED_NAMES)),
-                          F.array(*map(F.lit, extra)).cast("array<string>"))
-    return files.filter(~F.arrays_overlap(components(F.col("rel_path")), names))
+    names = list(dict.fromkeys([*IGNORED_NAMES, *extra]))
+    return files.filter(~F.exists(components(F.col("rel_path")), lambda part: part.isin(names)))
 
 
 def without_hidden(files: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def plan_moves(files: DataFrame, root: str, include_subfolders: bool = False,
         files = files.filter(~F.lower("path").contains(protected.lower()))
     parts = components(F.col("path"))
     if not include_subfolders:
-        files = files.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, CATEGORIES))))
+        files = files.filter(~F.exists(parts, lambda part: part.isin(CATEGORIES)))
     files = files.filter(~F.array_contains(parts, QUARANTINE))
 
     name = base_name(F.col("path"))

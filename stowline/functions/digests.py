@@ -8,6 +8,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stowline.settings import CHUNK_BYTES
 
@@ -75,5 +76,6 @@ def digest_by_path(files: DataFrame, algorithm: str | None = None,
             found = [read(p) for p in batch["path"]]
             yield batch.assign(digest=[d for d, _ in found], error=[e for _, e in found])
 
-    schema = files.schema.add("digest", "string").add("error", "string")
+    schema = StructType([*files.schema.fields, StructField("digest", StringType()),
+                         StructField("error", StringType())])
     return files.mapInPandas(run, schema)

@@ -19,6 +19,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stowline.functions.names import family, numbered, slots_of
 from stowline.operators.matching import keep_matching
@@ -171,7 +172,7 @@ def _one_by_one(requests: DataFrame, occupied: DataFrame, families: DataFrame,
     rows = requests.withColumn("_family", family(F.col("name"))).join(families, where, "left_semi")
     present = occupied.select(*NAME, family(F.col("name")).alias("_family")).distinct().join(
         families, where, "left_semi")
-    schema = requests.schema.add("final_name", "string")
+    schema = StructType([*requests.schema.fields, StructField("final_name", StringType())])
     columns = schema.names
 
     def resolve(_, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowline import settings
 from stowline.functions.names import base_name, extension, parent_dir
 from stowline.operators.matching import keep_matching
 from stowline.operators.naming import unique_names
@@ -23,13 +24,15 @@ def resolve_moves(moves: DataFrame, present: DataFrame, order: list[str],
     """
     moves = stage(moves, "moves")
     total = most_rows(moves)
-    sources = moves.select(F.col("source_path").alias("path"))
-    found = keep_matching(present.select("path"), sources, ["path"], total).distinct().select(
-        F.col("path").alias("source_path"), F.lit(True).alias("_found"))
-    checked = moves.join(found, "source_path", "left")
+    there = present.select("path")
+    if total <= settings.broadcast_rows(moves.sparkSession):
+        # A few moves need a few rows of the inventory, found without shuffling it.
+        there = keep_matching(there, moves.select(F.col("source_path").alias("path")), ["path"], total)
+    found = there.filter(F.col("path") == F.col("source_path").outer()).exists()
+    checked = moves.select("*", found.alias("_found"))
     if not sources_unique:
         checked = number_within(checked, ["source_path"], order, "_turn", at_most=total).withColumn(
-            "_found", F.when(F.col("_turn") == 1, F.col("_found"))).drop("_turn")
+            "_found", F.col("_found") & (F.col("_turn") == 1)).drop("_turn")
     checked = stage(checked, "checked")
 
     target = F.col("destination_path")
@@ -41,7 +44,7 @@ def resolve_moves(moves: DataFrame, present: DataFrame, order: list[str],
                        base_name(F.col("path")).alias("name")), folders, ["directory"], total)
     named = unique_names(requests, occupied, order, total).withColumn(
         "final_path", F.concat_ws("/", "directory", "final_name")).select(*moves.columns, "final_path")
-    lost = checked.filter("_found is null").drop("_found").withColumn(
+    lost = checked.filter("not _found").drop("_found").withColumn(
         "final_path", F.lit(None).cast("string"))
     return stage(named.unionByName(lost), "resolved")
 

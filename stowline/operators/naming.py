@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from stowline import settings
 from stowline.functions.names import family, numbered, slots_of
 from stowline.operators.matching import keep_matching
 from stowline.operators.ordinal import number_within
@@ -40,23 +41,26 @@ def unique_names(requests: DataFrame, occupied: DataFrame, order: list[str],
     caller knows.
     """
     asked = most_rows(requests) if most_requests is None else most_requests
-    ranked = number_within(requests, NAME, order, "_rank", at_most=asked)
-    has_base = F.size(slots_of(F.col("name"))) > 1
-    firsts = stage(ranked.filter("_rank = 1").select(*NAME, *order), "names",
-                   numbered=F.count_if(has_base),
-                   dotted=F.count_if(family(F.col("name")).endswith(".")))
-
-    taken = stage(_requested_slots(occupied, firsts), "slots")
+    first = F.col("_rank") == 1
+    ranked = stage(number_within(requests, NAME, order, "_rank", at_most=asked), "ranked",
+                   names=F.count_if(first),
+                   numbered=F.count_if(first & (F.size(slots_of(F.col("name"))) > 1)),
+                   dotted=F.count_if(first & family(F.col("name")).endswith(".")))
+    firsts = ranked.filter(first).select(*NAME, *order)
+    found = measures_of(ranked)
+    asked = most_rows(ranked)
+
+    taken = stage(_requested_slots(occupied, firsts, found["names"]), "slots")
     pairs = tangled = None
-    if measures_of(firsts)["numbered"]:
-        pairs, tangled = _interacting(firsts, taken)
+    if found["numbered"]:
+        pairs, tangled = _interacting(firsts, taken, found["dotted"] > 0)
     simple = ranked
     if tangled is not None:
         families = tangled.select("directory", "_family")
         simple = ranked.withColumn("_family", family(F.col("name"))).join(
             families, ["directory", "_family"], "left_anti").drop("_family")
     if pairs is not None:
-        settled = _settle_shared(pairs, requests, taken, order, asked)
+        settled = _settle_shared(pairs, ranked, taken, order)
         taken = stage(taken.unionByName(settled).distinct(), "slots")
 
     result = _free_slots(simple, taken, asked).withColumn(
@@ -66,26 +70,36 @@ def unique_names(requests: DataFrame, occupied: DataFrame, order: list[str],
     return result
 
 
-def _requested_slots(occupied: DataFrame, firsts: DataFrame) -> DataFrame:
+def _requested_slots(occupied: DataFrame, firsts: DataFrame, names: int) -> DataFrame:
     """(directory, name, _slot) of existing names that fill a slot of a requested name."""
     slots = (occupied.select("directory", F.explode(slots_of(F.col("name"))).alias("_s"))
              .select("directory", F.col("_s.base").alias("name"), F.col("_s.slot").alias("_slot")))
-    return keep_matching(slots, firsts, NAME).distinct()
+    return keep_matching(slots, firsts, NAME, names).distinct()
 
 
-def _free_slots(ranked: DataFrame, taken: DataFrame, asked: int | None) -> DataFrame:
+def _free_slots(ranked: DataFrame, taken: DataFrame, asked: int) -> DataFrame:
     """``_position`` of each request among requests and taken slots of its name."""
+    blocked = most_rows(taken)
+    spared = None
+    if blocked <= settings.broadcast_rows(ranked.sparkSession):
+        # Names without a taken slot keep their rank and need no second shuffle.
+        if not blocked:
+            return ranked.withColumnRenamed("_rank", "_position")
+        names = F.broadcast(taken.select(*NAME).distinct())
+        spared = ranked.join(names, NAME, "left_anti").withColumnRenamed("_rank", "_position")
+        ranked = ranked.join(names, NAME, "left_semi")
     lower = number_within(taken, NAME, ["_slot"], "_nth")
     marks = lower.select(*NAME, (F.col("_slot") - F.col("_nth") + 1).alias("_free_below"),
                          F.lit(False).alias("_asks"))
     asks = ranked.withColumns({"_free_below": F.col("_rank") - 1, "_asks": F.lit(True)}).drop("_rank")
     merged = asks.unionByName(marks, allowMissingColumns=True)
-    both = None if asked is None else asked + most_rows(taken)
-    return (number_within(merged, NAME, ["_free_below", "_asks"], "_position", at_most=both)
-            .filter("_asks").drop("_asks", "_free_below"))
+    placed = (number_within(merged, NAME, ["_free_below", "_asks"], "_position",
+                            at_most=asked + blocked)
+              .filter("_asks").drop("_asks", "_free_below"))
+    return placed if spared is None else placed.unionByName(spared)
 
 
-def _interacting(firsts: DataFrame, taken: DataFrame):
+def _interacting(firsts: DataFrame, taken: DataFrame, dotted: bool):
     """(pairs, tangled): requested names whose base is requested too, and the odd rest.
 
     A pair is (directory, name, _slot, child, order...) with ``child`` the
@@ -103,7 +117,7 @@ def _interacting(firsts: DataFrame, taken: DataFrame):
     pairs = stage(by_base.filter(~family_of.endswith("."))
                   .join(firsts.select(*NAME), NAME, "left_semi")
                   .join(existing, ["directory", "child"], "left_anti"), "pairs")
-    if not measures_of(firsts)["dotted"]:
+    if not dotted:
         return pairs if most_rows(pairs) else None, None
     tangled = stage(firsts.withColumn("_family", family_of).filter(F.col("_family").endswith("."))
                     .groupBy("directory", "_family").agg(F.count("*").alias("_n"))
@@ -111,8 +125,8 @@ def _interacting(firsts: DataFrame, taken: DataFrame):
     return tuple(t if most_rows(t) else None for t in (pairs, tangled))
 
 
-def _settle_shared(pairs: DataFrame, requests: DataFrame, taken: DataFrame,
-                   order: list[str], asked: int | None) -> DataFrame:
+def _settle_shared(pairs: DataFrame, ranked: DataFrame, taken: DataFrame,
+                   order: list[str]) -> DataFrame:
     """Slots that the first come of a shared name takes away, as (directory, name, _slot).
 
     For a pair of base b and child c = slot k of b, let ``_asked`` be the
@@ -121,14 +135,14 @@ def _settle_shared(pairs: DataFrame, requests: DataFrame, taken: DataFrame,
     not reached it: if ``_asked`` is at most the free slots below k that other
     children leave to b. Otherwise b took it and c finds its own slot 0 filled.
     """
-    base_requests = keep_matching(requests.select(*NAME, *order), pairs, NAME)
-    base_taken = keep_matching(taken, pairs, NAME)
+    base_requests = keep_matching(ranked.select(*NAME, *order), pairs, NAME, most_rows(pairs))
+    base_taken = keep_matching(taken, pairs, NAME, most_rows(pairs))
 
     by_time = number_within(pairs, NAME, order, "_nth_asked")
     both = base_requests.unionByName(by_time, allowMissingColumns=True)
     n_pairs = most_rows(pairs)
     timed = (number_within(both, NAME, order, "_pos",
-                           at_most=None if asked is None else asked + n_pairs)
+                           at_most=most_rows(ranked) + n_pairs)
              .filter("child is not null")
              .withColumn("_asked", F.col("_pos") - F.col("_nth_asked"))
              .drop("_pos", "_nth_asked", *order))

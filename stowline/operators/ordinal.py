@@ -76,8 +76,11 @@ def _number_by_range(df, keys, order, out):
     starts in it; groups are hot or there is only one, so it is small.
     """
     by = [*keys, *order]
+    spark = df.sparkSession
+    parts = (most_rows(df) or 0) // max(1, settings.hot_rows(spark))
+    many = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(
-        df.repartitionByRange(*by).sortWithinPartitions(*by)
+        df.repartitionByRange(*([parts] if many else []), *by).sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id()), "sorted")
     placed = placed.withColumn("_part", F.shiftright("_at", _PART_BITS))
     earlier = (Window.partitionBy(*keys).orderBy("_part")

@@ -12,10 +12,8 @@ def spark(tmp_path_factory):
 
     session = build_session(
         "tests", "local[4]", **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
-            # Short runs of many small plans: quick compilation beats fast code.
-            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session

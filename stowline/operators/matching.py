@@ -18,9 +18,10 @@ def keep_matching(rows: DataFrame, keys: DataFrame, on: list[str],
     and the adaptive skew join splits a hot key of ``rows``.
     """
     limit = settings.broadcast_rows(rows.sparkSession)
-    wanted = keys.select(*on).distinct()
+    wanted = keys.select(*on)
     bound = most_keys if most_keys is not None else most_rows(keys)
-    small = bound is not None and bound <= limit
-    if not small:
-        small = wanted.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
+    if bound is not None and bound <= limit:
+        return rows.join(F.broadcast(wanted), on, "left_semi")
+    wanted = wanted.distinct()
+    few = wanted.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(wanted) if few else wanted, on, "left_semi")

@@ -15,7 +15,8 @@ from stowline.functions.names import base_name, scan_key
 from stowline.functions.sizes import human_size
 from stowline.functions.times import iso_utc
 from stowline.operators.duplicates import join_groups
-from stowline.settings import LISTED_PATHS, PREVIEW_MOVES
+from stowline.settings import LISTED_PATHS, PREVIEW_MOVES, RECENT_OPERATIONS
+from stowline.sources.oplog import recent
 
 _LAST = 1_000_000  # a line number after every listed line
 
@@ -26,7 +27,7 @@ def _line(position: Column | int, text: Column | str) -> Column:
                     (F.lit(text) if isinstance(text, str) else text).alias("line"))
 
 
-def _lines(rows: DataFrame, *lines: Column, keep: Column | None = None) -> DataFrame:
+def _lines(rows: DataFrame, *lines: Column) -> DataFrame:
     """One output row per given line and input row, null lines left out."""
     return (rows.select(F.explode(F.array(*lines)).alias("_l")).select("_l.*")
             .filter("line is not null"))
@@ -131,6 +132,16 @@ def history_lines(operations: DataFrame) -> DataFrame:
         F.lit("  "), "source_path", F.lit(" -> "), "destination_path").alias("line"))
 
 
+def history_report(log: DataFrame, limit: int = RECENT_OPERATIONS) -> DataFrame:
+    shown = history_lines(recent(log, limit))
+    total = shown.agg(F.count("*").alias("n"))
+    none = F.col("n") == 0
+    head = _lines(total, _line(1, F.when(none, "No operations recorded yet.").otherwise("Recent operations:")),
+                  _line(2, F.when(~none, "")))
+    place = F.row_number().over(Window.orderBy(F.desc("id"))) + 2
+    return head.unionByName(shown.select(place.cast("bigint").alias("line_no"), "line"))
+
+
 def summary_counts(**tables: DataFrame) -> DataFrame:
     """(metric, value): the row count of each table."""
     return reduce(DataFrame.unionByName, [

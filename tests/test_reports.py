@@ -58,6 +58,11 @@ def test_history_lines(spark):
         "[+] DUPLICATE_REVIEW 2024-01-02T03:04:05+00:00  /a -> /b"]
 
 
+    assert text(reports.history_report(log, limit=1), "line_no") == [
+        "Recent operations:", "", "[+] DUPLICATE_REVIEW 2024-01-02T03:04:05+00:00  /a -> /b"]
+    assert text(reports.history_report(log.limit(0)), "line_no") == ["No operations recorded yet."]
+
+
 def test_written_report_reads_back_in_order(spark, tmp_path):
     lines = spark.createDataFrame([(2, "zwei é"), (1, "one"), (3, "")], "line_no int, line string")
     path = tmp_path / "deep" / "report"

@@ -335,6 +335,9 @@ ORACLE = {
         operation_type, status, error_message from ops"""),
     "history_recent": _sql("ops", "select * from ops order by id desc limit 100"),
     "history_lines": _sql("ops", _HISTORY),
+    "history_report": _sql("ops", f"""select line_no, line from (
+        select unnest([1, 2])::bigint as line_no, unnest(['Recent operations:', '']) as line
+        union all select row_number() over (order by id desc) + 2, line from ({_HISTORY}) h) x"""),
     "latest_batch": _sql("ops latest", "select batch_id from latest"),
     "latest_batch_ops": _sql("ops latest", "select * from ops where batch_id = (select batch_id from latest)"),
     "review_decisions": _sql(f"{_DUP} decisions answers", "select * from answers"),

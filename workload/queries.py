@@ -231,6 +231,10 @@ def history_lines(spark, d):
     return reports.history_lines(oplog.recent(Lake(spark, d).operations()))
 
 
+def history_report(spark, d):
+    return reports.history_report(Lake(spark, d).operations())
+
+
 def latest_batch(spark, d):
     return oplog.latest_batch(Lake(spark, d).operations())
 
@@ -320,7 +324,7 @@ QUERIES = {f.__name__: f for f in [
     dup_rejects, dup_group_numbers, dup_report, plan_moves, plan_already_organized,
     plan_include_subfolders, plan_protected, plan_preview, scan_listing, resolve_names,
     resolve_names_cascade, apply_plan_status, apply_plan_inventory, ops_append, ops_normalise,
-    history_recent, history_lines, latest_batch, latest_batch_ops, review_decisions, review_plan,
+    history_recent, history_lines, history_report, latest_batch, latest_batch_ops, review_decisions, review_plan,
     review_summary, review_dry_run, undo_plan, undo_preview, undo_apply, undo_inventory,
     undo_summary, summary_counts]}
 QUERIES["human_size"] = human_size_query

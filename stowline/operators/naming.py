@@ -153,6 +153,9 @@ def _settle_shared(pairs: DataFrame, ranked: DataFrame, taken: DataFrame,
              .withColumn("_free", F.col("_slot") - (F.col("_pos") - F.col("_nth")))
              .drop("_pos")
              .withColumn("_family", family(F.col("name"))))
+    # A base too late even if all other children took their slots has no say.
+    clear = F.col("_asked") <= F.col("_free") - F.col("_nth")
+    pairs = stage(pairs.withColumn("_clear", clear), "settling")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         import pandas as pd
@@ -175,8 +178,9 @@ def _settle_shared(pairs: DataFrame, ranked: DataFrame, taken: DataFrame,
                     filled.append((directory, child, 0))
         return pd.DataFrame(filled, columns=["directory", "name", "_slot"])
 
-    return pairs.groupBy("directory", "_family").applyInPandas(
+    walked = pairs.filter("not _clear").groupBy("directory", "_family").applyInPandas(
         walk, "directory string, name string, _slot bigint")
+    return walked.unionByName(pairs.filter("_clear").select(*_SLOT))
 
 
 def _one_by_one(requests: DataFrame, occupied: DataFrame, families: DataFrame,

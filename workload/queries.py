@@ -188,7 +188,8 @@ def resolve_names(spark, d):
 def resolve_names_cascade(spark, d):
     notes = stage(Lake(spark, d).notes(), "notes")
     requests = notes.filter("not present").select("doc_id", "directory", "name")
-    return unique_names(requests, notes.filter("present").select("directory", "name"), ["doc_id"])
+    return unique_names(requests, notes.filter("present").select("directory", "name"), ["doc_id"],
+                        most_requests=most_rows(notes))
 
 
 def _outcome(lake: Lake) -> DataFrame:

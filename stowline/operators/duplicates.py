@@ -53,7 +53,7 @@ def digest_table(files: DataFrame, algorithm: str | None = None) -> DataFrame:
         chosen = with_shared_size(listed)
         if chosen is None:
             chosen = keep_matching(listed, shared_sizes(listed), ["size"])
-        spread = chosen.repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path")
+        spread = chosen.repartition(settings.reading_tasks(files.sparkSession), "path")
         return stage(digest_by_path(spread, algorithm).select(*kept, "digest", "error"), "digests")
 
     chosen = with_shared_size(files)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowline import settings
-from stowline.sources.staging import most_rows, stage
+from stowline.sources.staging import measures_of, most_rows, stage
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
@@ -21,7 +21,7 @@ def with_ordinal(df: DataFrame, order: list[Column | str], out: str,
     """
     if _fits_a_task(df, at_most):
         return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    return _number_by_range(df, [], order, out)
+    return _number_by_range(df, [], order, out, at_most if at_most is not None else most_rows(df))
 
 
 def hot_keys(df: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame | None:
@@ -35,7 +35,7 @@ def hot_keys(df: DataFrame, keys: list[str], at_most: int | None = None) -> Data
         return None
     limit = settings.hot_rows(df.sparkSession)
     hot = stage(df.groupBy(*keys).agg(F.count("*").alias("_hot_n"))
-                .filter(F.col("_hot_n") > limit), "hot")
+                .filter(F.col("_hot_n") > limit), "hot", members=F.sum("_hot_n"))
     return hot if most_rows(hot) else None
 
 
@@ -50,7 +50,8 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column | str], out
     if hot is None:
         return _number_by_window(df, keys, order, out, count_as)
     small = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    large = _number_by_range(df.join(F.broadcast(hot), keys), keys, order, out)
+    large = _number_by_range(df.join(F.broadcast(hot), keys), keys, order, out,
+                             measures_of(hot)["members"])
     if count_as:
         large = large.withColumn(count_as, F.col("_hot_n"))
     return _number_by_window(small, keys, order, out, count_as).unionByName(large.drop("_hot_n"))
@@ -69,15 +70,18 @@ def _number_by_window(df, keys, order, out, count_as):
     return df.withColumns(extra)
 
 
-def _number_by_range(df, keys, order, out):
+def _number_by_range(df, keys, order, out, rows):
     """Sort by range into a staged table, count each part, add what comes before.
 
+    Parts are as many as the session shuffles into, or more when ``rows`` (None
+    if unknown) would overfill them.
+
     ``tallies`` holds one row per part, plus one for each further group that
     starts in it; groups are hot or there is only one, so it is small.
     """
     by = [*keys, *order]
     spark = df.sparkSession
-    parts = (most_rows(df) or 0) // max(1, settings.hot_rows(spark))
+    parts = (rows or 0) // settings.PART_ROWS
     many = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(
         df.repartitionByRange(*([parts] if many else []), *by).sortWithinPartitions(*by)

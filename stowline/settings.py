@@ -37,6 +37,7 @@ CHUNK_BYTES = 1024 * 1024
 # Limits that choose between two exact ways of doing the same thing.
 HOT_ROWS = 1_000_000        # a group above this many rows is split over tasks
 BROADCAST_ROWS = 1_000_000  # a key list above this many rows is shuffled, not broadcast
+PART_ROWS = 1_000_000       # rows sorted in one task, unless the session shuffles into more parts
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -45,3 +46,9 @@ def hot_rows(spark: SparkSession) -> int:
 
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.stowline.broadcastRows", str(BROADCAST_ROWS)))
+
+
+def reading_tasks(spark: SparkSession) -> int:
+    """Tasks for work whose cost does not show in bytes: opening files, listing folders."""
+    return max(4 * spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))

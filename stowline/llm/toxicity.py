@@ -30,11 +30,11 @@ from stowline.sources.staging import stage
 #: Bounds of the training sample and of the features that can have a weight.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 50_000
 BITS = 22
-STEPS, RATE, SHRINK = 200, 0.15, 0.1
+STEPS, RATE, SHRINK = 300, 0.15, 0.02
 #: A feature must be in some toxic texts, and toxic texts must surely be this share of those that have it.
 MIN_TEXTS, MIN_TOXIC = 3, 0.4
 #: Lengths of the word beginnings that are features beside the word.
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 400_000
 
@@ -47,16 +47,16 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def features(text: str | None) -> list[int]:
-    """Distinct features of a whole text's words, in any case."""
-    return sorted(set(chain.from_iterable(map(word_features, set(_WORD.findall((text or "").lower()))))))
+    """Features of a whole text's distinct words, in any case, one entry for each word."""
+    return sorted(chain.from_iterable(map(word_features, set(_WORD.findall((text or "").lower())))))
 
 
 class Model:
-    """Weights by feature and a bias; a feature counts once for each text that has it."""
+    """Weights by feature and a bias; each distinct word of a text adds its features' weights."""
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, float] = {}
 
     def score(self, text: str | None) -> float:
         words = set(_WORD.findall(text.lower())) if text else set()
@@ -64,9 +64,8 @@ class Model:
             self._known.clear()
         known = self._known
         for word in words.difference(known):
-            known[word] = tuple(f for f in word_features(word) if f in self.weights)
-        found = set(chain.from_iterable(filter(None, map(known.__getitem__, words))))
-        z = self.bias + fsum(map(self.weights.__getitem__, found))
+            known[word] = fsum(self.weights.get(f, 0.0) for f in word_features(word))
+        z = self.bias + fsum(map(known.__getitem__, words))
         return 1 / (1 + exp(-max(-60.0, min(60.0, z))))
 
 
@@ -105,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model({}, -4.0)
     others = max(rows.staged_measures["rows"] - positives, 1)
     # Features of toxic texts more than of others, the most frequent first; the rest weigh nothing.
-    counts = rows.select("p", F.explode("f").alias("w")).groupBy("w").agg(
+    counts = rows.select("p", F.explode(F.array_distinct("f")).alias("w")).groupBy("w").agg(
         F.count_if("p").alias("n"), F.count_if(~F.col("p")).alias("u")).filter(
         (F.col("n") >= MIN_TEXTS) & (prior / positives * (F.col("n") - F.sqrt("n"))
                                      >= MIN_TOXIC / others * (F.col("u") + F.sqrt("u")))).orderBy(F.desc("n"), "w").limit(FEATURES)

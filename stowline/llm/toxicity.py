@@ -36,10 +36,10 @@ MIN_TEXTS, MIN_TOXIC = 3, 0.4
 #: Lengths of the word beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def word_features(word: str) -> tuple[int, ...]:
     """Hashes of a word and of its beginnings, so that inflected forms share a feature."""
     forms = [word + "$", *[word[:n] for n in STEMS if len(word) >= n]]

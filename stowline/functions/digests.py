@@ -45,21 +45,30 @@ def digest_by_path(files: DataFrame, algorithm: str | None = None,
     """``files`` (path, size, ...) plus ``digest`` and ``error``, read on the executors.
 
     Each file streams through a fixed buffer, so its size does not matter. A
-    file that is gone, unreadable, or of another length than when it was opened
-    gets an ``error`` and a null digest.
+    path is a mounted one or a URI of a file system that executors can open; an
+    unknown scheme stops the job. A file that is gone, unreadable, or of another
+    length than its recorded size (when opened, if none is recorded) gets an
+    ``error`` and a null digest.
     """
     chosen = check_algorithm(algorithm)
 
-    def read(path: str) -> tuple[str | None, str | None]:
+    def read(path: str, size: int | None) -> tuple[str | None, str | None]:
         import hashlib
-        import os
+        import re
 
+        from pyarrow import fs
+
+        if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:/", path):
+            store, place = fs.FileSystem.from_uri(path)
+        else:
+            store, place = fs.LocalFileSystem(), path
         try:
-            if not os.path.isfile(path):
+            info = store.get_file_info(place)
+            if info.type != fs.FileType.File:
                 return None, "missing"
+            expected = info.size if size is None else size
             state, seen = hashlib.new(chosen), 0
-            with open(path, "rb") as handle:
-                expected = os.fstat(handle.fileno()).st_size
+            with store.open_input_stream(place) as handle:
                 while chunk := handle.read(chunk_bytes):
                     state.update(chunk)
                     seen += len(chunk)
@@ -73,7 +82,8 @@ def digest_by_path(files: DataFrame, algorithm: str | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [read(p) for p in batch["path"]]
+            sizes = batch["size"] if "size" in batch else [None] * len(batch)
+            found = [read(p, None if pd.isna(s) else int(s)) for p, s in zip(batch["path"], sizes)]
             yield batch.assign(digest=[d for d, _ in found], error=[e for _, e in found])
 
     schema = StructType([*files.schema.fields, StructField("digest", StringType()),

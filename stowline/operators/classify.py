@@ -10,7 +10,7 @@ from stowline.settings import EXTENSIONS, OTHER
 
 def category_table(spark: SparkSession) -> DataFrame:
     """(extension, category), one row per known extension."""
-    rows = [f"('{e}', '{c}')" for c, known in EXTENSIONS.items() for e in known.split()]
+    rows = [f"('{e}', '{c}')" for c, known in EXTENSIONS.items() for e in known]
     return spark.sql(f"select * from values {', '.join(rows)} as t(extension, category)")
 
 

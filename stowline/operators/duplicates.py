@@ -20,7 +20,7 @@ def size_counts(files: DataFrame) -> DataFrame:
 
 
 def shared_sizes(files: DataFrame) -> DataFrame:
-    return size_counts(files).filter("n_files >= 2")
+    return size_counts(files.filter("size is not null")).filter("n_files >= 2")
 
 
 def with_shared_size(files: DataFrame) -> DataFrame | None:
@@ -29,6 +29,7 @@ def with_shared_size(files: DataFrame) -> DataFrame | None:
     The shorter of the two lists, shared or unique sizes, is broadcast so that
     contents are not shuffled. None when neither list is short enough.
     """
+    files = files.filter("size is not null")
     sizes = stage(size_counts(files), "sizes", shared=F.count_if(F.col("n_files") >= 2),
                   unique=F.count_if(F.col("n_files") == 1))
     limit = settings.broadcast_rows(files.sparkSession)
@@ -45,24 +46,36 @@ def digest_table(files: DataFrame, algorithm: str | None = None) -> DataFrame:
 
     ``files`` has ``content``, or else paths that executors can open. Contents
     are read once here and appear in no shuffle. ``error`` tells why a file has
-    no digest: its content is absent, or its length is not the recorded size.
+    no digest: its content is absent, its length is not the recorded size, or no
+    size is recorded. Rows that share a path (a file and links to it) are one
+    file, the first in scan order.
     """
     kept = ["path", "rel_path", "size"]
+    unsized = files.filter("size is null").select(
+        *kept, F.lit(None).cast("string").alias("digest"), F.lit("size unknown").alias("error"))
+    files = files.filter("size is not null")
     if "content" not in files.columns:
         listed = files.select(*kept)
         chosen = with_shared_size(listed)
         if chosen is None:
             chosen = keep_matching(listed, shared_sizes(listed), ["size"])
         spread = chosen.repartition(settings.reading_tasks(files.sparkSession), "path")
-        return stage(digest_by_path(spread, algorithm).select(*kept, "digest", "error"), "digests")
+        found = digest_by_path(spread, algorithm).select(*kept, "digest", "error")
+        return stage(_one_file_per_path(found.unionByName(unsized)), "digests")
 
     chosen = with_shared_size(files)
     table = _checked(files if chosen is None else chosen, algorithm).select(*kept, "digest", "error")
-    table = stage(table, "digests")
     if chosen is None:
         # Every file was digested; the size rule now applies to rows without contents.
+        table = stage(table, "digested")
         table = keep_matching(table, shared_sizes(table), ["size"])
-    return table
+    return stage(_one_file_per_path(table.unionByName(unsized)), "digests")
+
+
+def _one_file_per_path(table: DataFrame) -> DataFrame:
+    rest = [c for c in table.columns if c != "path"]
+    first = F.min_by(F.struct(*rest), F.struct(scan_key(F.col("rel_path"))))
+    return table.groupBy("path").agg(first.alias("_first")).select("path", "_first.*")
 
 
 def _checked(files: DataFrame, algorithm: str | None) -> DataFrame:

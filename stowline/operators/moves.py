@@ -66,15 +66,22 @@ def operations_of(outcome: DataFrame, operation_type: str, order: list[str]) ->
         "status", "error_message", *order)
 
 
-def apply_moves(files: DataFrame, resolved: DataFrame) -> DataFrame:
+def apply_moves(files: DataFrame, resolved: DataFrame, root: str | None = None) -> DataFrame:
     """``files`` after the moves: ``path``, ``name`` and ``extension`` are the new ones.
 
+    With ``root``, ``rel_path`` of moved files is their new path below it (the
+    whole path if it lies elsewhere), so that the next scan sees where they are.
     ``resolved`` has at most one successful move per source.
     """
     done = resolved.filter("final_path is not null").select(
         F.col("source_path").alias("path"), F.col("final_path").alias("_new"))
     name = base_name(F.coalesce("_new", "path"))
-    return files.join(done, "path", "left").withColumns({
+    renewed = {}
+    if root is not None and "rel_path" in files.columns:
+        below = root.rstrip("/") + "/"
+        renewed["rel_path"] = F.when(F.col("_new").isNull(), F.col("rel_path")).when(
+            F.startswith("_new", F.lit(below)), F.substr("_new", F.lit(len(below) + 1))).otherwise(F.col("_new"))
+    return files.join(done, "path", "left").withColumns(renewed).withColumns({
         "name": name, "extension": extension(name),
         "path": F.coalesce("_new", "path")}).drop("_new").select(
             *dict.fromkeys([*files.columns, "name", "extension"]))

@@ -42,9 +42,10 @@ def execute_plan(plan: DataFrame, files: DataFrame) -> DataFrame:
     """The plan plus ``final_path``, ``status``, ``error_message``.
 
     ``files`` is the inventory at this moment; it decides which sources and
-    names exist.
+    names exist. A file listed twice (itself and a link to it) is moved once;
+    its second move fails.
     """
-    return with_status(resolve_moves(plan, files, ORDER), SOURCE_GONE)
+    return with_status(resolve_moves(plan, files, ORDER, sources_unique=False), SOURCE_GONE)
 
 
 def organize_operations(outcome: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def plan_review(members: DataFrame, decided: DataFrame, root: str) -> DataFrame:
 
 def execute_review(plan: DataFrame, files: DataFrame) -> DataFrame:
     """The plan plus ``final_path``; moves whose source is gone are dropped, not failed."""
-    return resolve_moves(plan, files, ORDER).filter("final_path is not null")
+    return resolve_moves(plan, files, ORDER, sources_unique=False).filter("final_path is not null")
 
 
 def review_operations(done: DataFrame) -> DataFrame:

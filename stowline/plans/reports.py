@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.functions.names import base_name, scan_key
 from stowline.functions.sizes import human_size
 from stowline.functions.times import iso_utc
 from stowline.operators.duplicates import join_groups
+from stowline import settings
+from stowline.operators.ordinal import with_ordinal
 from stowline.settings import LISTED_PATHS, PREVIEW_MOVES, RECENT_OPERATIONS
 from stowline.sources.oplog import recent
 
-_LAST = 1_000_000  # a line number after every listed line
-
 
 def _line(position: Column | int, text: Column | str) -> Column:
     position = F.lit(position).cast("bigint") if isinstance(position, int) else position.cast("bigint")
@@ -34,15 +34,10 @@ def _lines(rows: DataFrame, *lines: Column) -> DataFrame:
 
 
 def _top(rows: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
-    """The first rows with ``n``; the window sees at most ``limit`` rows."""
-    return rows.orderBy(*order).limit(limit).withColumn(
-        "n", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-
-
-def _renumber(lines: DataFrame) -> DataFrame:
-    """Line numbers without gaps; the report has a fixed greatest length."""
-    return lines.withColumn(
-        "line_no", F.row_number().over(Window.orderBy("line_no")).cast("bigint"))
+    """The first rows with their number ``n``."""
+    if limit <= settings.hot_rows(rows.sparkSession):
+        return with_ordinal(rows.orderBy(*order).limit(limit), order, "n", at_most=limit)
+    return with_ordinal(rows, order, "n").filter(F.col("n") <= limit)
 
 
 def _more(total: Column, shown: int, indent: str) -> Column:
@@ -53,18 +48,20 @@ def scan_listing(files: DataFrame, root: str, limit: int = LISTED_PATHS) -> Data
     total = files.agg(F.count("*").alias("total"))
     head = _lines(total, _line(1, f"Scanned directory: {root}"),
                   _line(2, F.format_string("Found %d file(s).", "total")), _line(3, ""),
-                  _line(_LAST, _more(F.col("total"), limit, "  ")))
+                  _line(limit + 4, _more(F.col("total"), limit, "  ")))
     shown = _top(files.select("path", scan_key(F.col("rel_path")).alias("k")), ["k", "path"], limit)
     listed = _lines(shown, _line(F.col("n") + 3, F.concat(F.lit("  "), "path")))
-    return _renumber(head.unionByName(listed))
+    return head.unionByName(listed)
 
 
 def plan_preview(plan: DataFrame, limit: int = PREVIEW_MOVES) -> DataFrame:
     total = plan.agg(F.count("*").alias("total"))
     more = _more(F.col("total"), limit, "")
-    frame = _lines(total, _line(1, "Planned operations:"), _line(2, ""), _line(_LAST, more),
-                   _line(_LAST + 1, F.when(more.isNotNull(), "")),
-                   _line(_LAST + 2, F.format_string("Total files to move: %d", "total")))
+    foot = F.least("total", F.lit(limit)) * 4 + 3
+    frame = _lines(total, _line(1, "Planned operations:"), _line(2, ""), _line(foot, more),
+                   _line(foot + 1, F.when(more.isNotNull(), "")),
+                   _line(foot + F.when(more.isNotNull(), 2).otherwise(0),
+                         F.format_string("Total files to move: %d", "total")))
     shown = _top(plan, ["scan_key", "source_path"], limit)
     first = F.col("n") * 4 - 1
     listed = _lines(
@@ -73,7 +70,7 @@ def plan_preview(plan: DataFrame, limit: int = PREVIEW_MOVES) -> DataFrame:
         _line(first + 1, F.concat(F.lit("   From: "), "source_path")),
         _line(first + 2, F.concat(F.lit("   To:   "), "destination_path")),
         _line(first + 3, ""))
-    return _renumber(frame.unionByName(listed))
+    return frame.unionByName(listed)
 
 
 def undo_preview(reverse: DataFrame) -> DataFrame:
@@ -138,8 +135,8 @@ def history_report(log: DataFrame, limit: int = RECENT_OPERATIONS) -> DataFrame:
     none = F.col("n") == 0
     head = _lines(total, _line(1, F.when(none, "No operations recorded yet.").otherwise("Recent operations:")),
                   _line(2, F.when(~none, "")))
-    place = F.row_number().over(Window.orderBy(F.desc("id"))) + 2
-    return head.unionByName(shown.select(place.cast("bigint").alias("line_no"), "line"))
+    numbered = with_ordinal(shown, [F.desc("id")], "_n", at_most=limit)
+    return head.unionByName(numbered.select((F.col("_n") + 2).alias("line_no"), "line"))
 
 
 def summary_counts(**tables: DataFrame) -> DataFrame:

@@ -6,17 +6,19 @@ from pyspark.sql import SparkSession
 
 # Results depend on these lists being exactly as they are.
 EXTENSIONS = {
-    "Images": "jpg jpeg png gif webp svg bmp tiff tif ico heic raw psd",
-    "Documents": "pdf doc docx txt rtf odt md epub tex pages",
-    "Videos": "mp4 mkv avi mov webm flv wmv m4v mpg mpeg 3gp",
-    "Audio": "mp3 wav flac aac ogg wma m4a opus aiff",
-    "Archives": "zip rar 7z tar gz bz2 xz tgz tbz2 iso",
-    "Programs": "exe msi app deb rpm bat cmd sh apk dmg",
-    "Code": "py js ts jsx tsx html css java cpp c h hpp cs go rs rb php swift "
-            "kt sql json yaml yml xml toml ini vue sass scss lua pl r",
-    "Spreadsheets": "xls xlsx ods csv tsv",
-    "Presentations": "ppt pptx odp key",
-    "Other": "",
+    "Images": ["jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "tiff", "tif", "ico", "heic", "raw",
+        "psd"],
+    "Documents": ["pdf", "doc", "docx", "txt", "rtf", "odt", "md", "epub", "tex", "pages"],
+    "Videos": ["mp4", "mkv", "avi", "mov", "webm", "flv", "wmv", "m4v", "mpg", "mpeg", "3gp"],
+    "Audio": ["mp3", "wav", "flac", "aac", "ogg", "wma", "m4a", "opus", "aiff"],
+    "Archives": ["zip", "rar", "7z", "tar", "gz", "bz2", "xz", "tgz", "tbz2", "iso"],
+    "Programs": ["exe", "msi", "app", "deb", "rpm", "bat", "cmd", "sh", "apk", "dmg"],
+    "Code": ["py", "js", "ts", "jsx", "tsx", "html", "css", "java", "cpp", "c", "h", "hpp", "cs", "go",
+        "rs", "rb", "php", "swift", "kt", "sql", "json", "yaml", "yml", "xml", "toml", "ini", "vue",
+        "sass", "scss", "lua", "pl", "r"],
+    "Spreadsheets": ["xls", "xlsx", "ods", "csv", "tsv"],
+    "Presentations": ["ppt", "pptx", "odp", "key"],
+    "Other": [],
 }
 CATEGORIES = list(EXTENSIONS)
 OTHER = "Other"

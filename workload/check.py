@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -45,7 +46,8 @@ def main(folder: str = "/root/testdata/sf0.01", *names: str) -> int:
     from stowline.sources.staging import drop_staged
 
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="stowline-")})
     spark.sparkContext.setLogLevel("ERROR")
     duck, bad = connect(folder), 0
     for name in names or QUERIES:

@@ -25,7 +25,8 @@ select doc_id, concat('/lake/', rel_path) as path, rel_path, $BYTES as size, n_c
   1700000000 + doc_id * 3600 + 0.5 as modified_s, text as content
 from (select doc_id, text, n_chars,
   concat(case when doc_id % 31 = 0 then '.cache/' when doc_id % 37 = 0 then 'node_modules/'
-              when doc_id % 41 = 0 then 'Images/' else '' end,
+              when doc_id % 41 = 0 then 'Images/'
+              when doc_id % 47 = 0 then 'Duplicate_Review/' else '' end,
     case when source = 'src0' then '' else concat(source, '/', lang, '/d',
       cast(cast(floor(doc_id / 20) as $L) as $S), '/') end,
     case when doc_id % 43 = 0 then '.' else '' end,

@@ -11,7 +11,7 @@ from stowline.settings import CATEGORIES, EXTENSIONS, IGNORED_NAMES
 from workload import fixtures as fx
 
 _list = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
-_EXT_ROWS = ", ".join(f"('{e}', '{c}')" for c, known in EXTENSIONS.items() for e in known.split())
+_EXT_ROWS = ", ".join(f"('{e}', '{c}')" for c, known in EXTENSIONS.items() for e in known)
 _EXT = r"lower(regexp_extract({0}, '(?s)^.+\.([^.]+)$', 1))"
 _SUFFIX = r"regexp_extract({0}, '(?s)^.+(\.[^.]+)$', 1)"
 _NAME = "string_split({0}, '/')[-1]"
@@ -185,6 +185,13 @@ def _metadata(path: str) -> str:
     return f"{name} as name, {_EXT.format(name)} as extension"
 
 
+def _after(moves: str, more: str) -> str:
+    """The lake after moves (source_path, final_path)."""
+    return f"""select coalesce(o.final_path, l.path) as path,
+      coalesce(substr(o.final_path, 7), l.rel_path) as rel_path, l.size
+      from lake_now l left join {moves} o on o.source_path = l.path {more}"""
+
+
 _HISTORY = r"""select id, concat('[', case when status = 'SUCCESS' then '+' else '!' end, '] ',
   rpad(operation_type, 16, ' '), ' ', strftime(timestamp, '%Y-%m-%dT%H:%M:%S'),
   case when microsecond(timestamp) % 1000000 = 0 then '' else strftime(timestamp, '.%f') end,
@@ -292,11 +299,12 @@ ORACLE = {
               from inventory group by 1 having count(*) > 1) g"""),
     "dup_members": _sql(_DUP, "select digest, member_no, rel_path, size from members"),
     "dup_rejects": _sql("inventory", """
-        select rel_path, n_chars as size,
-          case when gone then 'missing' else 'size mismatch' end as error
-        from (select *, doc_id in (select doc_id from labels where toxic = 1) as gone from inventory) f
-        where (gone or n_chars <> size)
-          and n_chars in (select n_chars from inventory group by n_chars having count(*) > 1)"""),
+        select rel_path, known as size, case when known is null then 'size unknown'
+          when gone then 'missing' else 'size mismatch' end as error
+        from (select *, doc_id in (select doc_id from labels where toxic = 1) as gone,
+                case when doc_id % 97 <> 0 then n_chars end as known from inventory) f
+        where known is null or ((gone or known <> size) and known in (
+          select n_chars from inventory where doc_id % 97 <> 0 group by n_chars having count(*) > 1))"""),
     "dup_group_numbers": _sql(_DUP, "select group_no, digest, size, n_files, recoverable from groups"),
     "dup_report": _sql(_DUP, _REPORT),
     "plan_moves": _sql(_PLAN, "select source_path, destination_path, category from planned"),
@@ -322,9 +330,19 @@ ORACLE = {
     "apply_plan_status": _sql(_MOVE, """select source_path, destination_path, category, final_path,
         status, error_message from outcome"""),
     "apply_plan_inventory": _sql(_MOVE, f"""
-        select path, {_metadata('path')}, size from (
-          select coalesce(o.final_path, l.path) as path, l.size
-          from lake_now l left join outcome o on o.source_path = l.path and o.status = 'SUCCESS') x"""),
+        select path, rel_path, {_metadata('path')}, size from ({_after('outcome', "and o.status = 'SUCCESS'")}) x"""),
+    "apply_plan_twice": _sql(f"{_MOVE}", f"""
+        , after as ({_after('outcome', "and o.status = 'SUCCESS'")}),
+        in_scope as ({_scope(IGNORED_NAMES, True).replace('from inventory', 'from after')})
+        select source_path, destination_path, category from ({_plan('in_scope')})""").replace("\n\n        , after", "\n, after"),
+    "review_inventory": _sql(_REVIEW, f"""
+        select path, rel_path, {_metadata('path')}, size from ({_after(
+            "(select source_path, concat(directory, '/', final_name) as final_path from reviewed)", '')}) x"""),
+    "undo_append": _sql(f"{_UNDO}", """
+        select * from ops union all
+        select (select max(id) from ops) + row_number() over (order by undo_seq), 'feedc0de00000001',
+          operation_type, source_path, destination_path, timestamp '2024-02-01 12:00:00', status, error_message
+        from undone"""),
     "ops_append": _sql(f"{_MOVE} ops", f"""
         select * from ops union all
         select (select max(id) from ops) + row_number() over (order by {_PARTS.format('rel_path')}),

@@ -129,7 +129,7 @@ def dup_rejects(spark, d):
     # Recorded sizes count characters, and toxic files are gone: both are found when digesting.
     lake = Lake(spark, d)
     gone = lake.table("labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("gone")).distinct()
-    files = lake.inventory().withColumn("size", F.col("n_chars")).join(gone, "doc_id", "left").withColumn(
+    files = lake.inventory().withColumn("size", F.when(F.col("doc_id") % 97 != 0, F.col("n_chars"))).join(gone, "doc_id", "left").withColumn(
         "content", F.when(F.col("gone").isNull(), F.col("content")))
     return dup.digest_table(files).filter("error is not null").select("rel_path", "size", "error")
 
@@ -202,7 +202,15 @@ def apply_plan_status(spark, d):
 
 def apply_plan_inventory(spark, d):
     lake = Lake(spark, d)
-    return apply_moves(lake.lake_now(), _outcome(lake)).select("path", "name", "extension", "size")
+    return apply_moves(lake.lake_now(), _outcome(lake), ROOT).select(
+        "path", "rel_path", "name", "extension", "size")
+
+
+def apply_plan_twice(spark, d):
+    # Scope and plan the new state: what was moved is not planned again.
+    lake = Lake(spark, d)
+    after = stage(apply_moves(lake.lake_now(), _outcome(lake), ROOT), "after")
+    return organize.plan_moves(in_scope(after), ROOT).drop("scan_key")
 
 
 def ops_append(spark, d):
@@ -267,6 +275,13 @@ def review_plan(spark, d):
         "digest", "member_no", "source_path", "destination_path", "final_path")
 
 
+def review_inventory(spark, d):
+    lake = Lake(spark, d)
+    _, plan = _review(lake)
+    done = quarantine.execute_review(plan, lake.lake_now())
+    return apply_moves(lake.lake_now(), done, ROOT).select("path", "rel_path", "name", "extension", "size")
+
+
 def review_summary(spark, d):
     lake = Lake(spark, d)
     decided, plan = _review(lake)
@@ -305,6 +320,15 @@ def undo_inventory(spark, d):
     return apply_moves(lake.undo_state(), _undone(lake))
 
 
+def undo_append(spark, d):
+    lake = Lake(spark, d)
+    log = f"{staging_root(spark)}/log-{uuid4().hex}"
+    lake.operations().write.parquet(log)
+    oplog.append(spark, log, undo.undo_operations(_undone(lake)), undo.ORDER, BATCH,
+                 F.lit("2024-02-01 12:00:00").cast("timestamp_ntz"))
+    return oplog.read_log(spark, log)
+
+
 def undo_summary(spark, d):
     return undo.undo_summary(_undone(Lake(spark, d)))
 
@@ -324,9 +348,9 @@ QUERIES = {f.__name__: f for f in [
     classify_pages, size_buckets, dup_candidates, dup_groups, dup_recoverable, dup_members,
     dup_rejects, dup_group_numbers, dup_report, plan_moves, plan_already_organized,
     plan_include_subfolders, plan_protected, plan_preview, scan_listing, resolve_names,
-    resolve_names_cascade, apply_plan_status, apply_plan_inventory, ops_append, ops_normalise,
+    resolve_names_cascade, apply_plan_status, apply_plan_inventory, apply_plan_twice, ops_append, ops_normalise,
     history_recent, history_lines, history_report, latest_batch, latest_batch_ops, review_decisions, review_plan,
-    review_summary, review_dry_run, undo_plan, undo_preview, undo_apply, undo_inventory,
+    review_inventory, review_summary, review_dry_run, undo_plan, undo_preview, undo_apply, undo_inventory, undo_append,
     undo_summary, summary_counts]}
 QUERIES["human_size"] = human_size_query
 for _algorithm in ("sha256", "sha1", "md5"):

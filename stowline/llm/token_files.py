@@ -3,8 +3,8 @@
 Ids lie in ascending document order. They are cut into blocks of a fixed number
 of ids; a block's ids are transposed into byte or bit planes and each plane is
 compressed by zstandard on its own, since the planes of high bits hardly vary.
-With its planes a block stores the chunk index: the documents that begin in it,
-where, and how many ids they have.
+With its planes a block stores the chunk index: the documents that have ids in
+it, where they begin, and how many ids they have. A block can be read alone.
 
 The files are Parquet files of such blocks, so that Spark's commit protocol
 keeps them whole when executors are lost, on any file system.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,24 @@ from stowline.llm.common import slices
 from stowline.sources.staging import stage
 
 BLOCK_IDS = 65_536
-#: Words and parts of words remembered by a worker.
-REMEMBERED = 300_000
-
-_ASCII_SPACE = " \t\n\r\x0b\x0c"
-#: The pre-tokeniser's pattern for lower-cased ASCII text; fixed value of the vocabulary file.
-_ASCII_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^{_ASCII_SPACE}a-z0-9]+")
+#: Parts of words remembered by a worker; frequent ones survive a change of generation.
+REMEMBERED = 250_000
+_TOGETHER = 1000
+
+#: Texts of these characters are lower-cased alike everywhere and are in normal form C.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+_SPACE, _LETTER = " \t\n\r\x0b\x0c", "a-zß-öø-ÿ"
+#: The pre-tokeniser's pattern for such texts in lower case; fixed value of the vocabulary file.
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_SPACE}0-9{_LETTER}]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    """Ids by the tokenizers library, asked once for each distinct part of a word.
+    """Ids by the tokenizers library, asked once for each distinct part of a text.
 
-    White space parts tokens for good in this kind of vocabulary, so a text is
-    encoded word by word. ASCII words fall into parts by the pre-tokeniser's
-    own pattern; any other word goes to the library whole.
+    The pre-tokeniser parts texts for good in this kind of vocabulary. Texts of
+    plain characters are parted by its own pattern here; in other texts, words
+    that are not plain go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -59,50 +63,52 @@ class Encoder:
                 or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])):
             raise ValueError("not a vocabulary of lower-cased words parted by white space")
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self._words: dict[str, bytes] = {}
-        self._old_words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-        self._old_parts: dict[str, bytes] = {}
-
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes()
-                for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self._words) > REMEMBERED:
-            self._words, self._old_words = {}, self._words
-        if len(self._parts) > REMEMBERED:
-            self._parts, self._old_parts = {}, self._parts
-        cut: dict[str, list[str]] = {}
-        for word in words:
-            if word not in self._words:
-                ids = self._old_words.get(word)
-                if ids is not None:
-                    self._words[word] = ids
-                elif word.isascii() and not any(t in word for t in self.added):
-                    cut[word] = _ASCII_PARTS.findall(word.lower())
-                else:
-                    cut[word] = [word]
-        asked = set()
-        for parts in cut.values():
-            for part in parts:
-                if part not in self._parts:
-                    ids = self._old_parts.get(part)
-                    if ids is None:
-                        asked.add(part)
-                    else:
-                        self._parts[part] = ids
-        pieces = list(asked)
-        self._parts.update(zip(pieces, self._ask(pieces), strict=True))
-        for word, parts in cut.items():
-            self._words[word] = b"".join(map(self._parts.__getitem__, parts))
+        self._fresh: dict[str, bytes] = {}
+        self._kept: dict[str, bytes] = {}
+
+    def _cut(self, text: str, wholes: set[str]) -> list[str]:
+        if _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
+            return _PARTS.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            if _PLAIN.fullmatch(word) and not any(t in word for t in self.added):
+                out += _PARTS.findall(word.lower())
+            else:
+                wholes.add(word)
+                out.append(word)
+        return out
+
+    def _ask(self, parts: list[str]) -> None:
+        """Ids of parts that are one pre-token each, asked in one text."""
+        for start in range(0, len(parts), _TOGETHER):
+            some = parts[start:start + _TOGETHER]
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            ids, words = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
+            ends = np.searchsorted(words, np.arange(len(some)), "right")
+            if not len(words) or words[-1] != len(some) - 1:
+                raise ValueError(f"the library parts these otherwise: {some[:20]}")
+            raw = ids.tobytes()
+            self._fresh.update((part, raw[4 * a:4 * b]) for part, a, b in zip(some, [0, *ends[:-1]], ends))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*words))
-        known = self._words.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        if len(self._fresh) > REMEMBERED:
+            self._fresh, self._kept = {}, self._fresh
+        wholes: set[str] = set()
+        cut = [self._cut(t, wholes) for t in texts]
+        new = []
+        for part in set(chain.from_iterable(cut)).difference(self._fresh):
+            ids = self._kept.get(part)
+            if ids is None:
+                new.append(part)
+            else:
+                self._fresh[part] = ids
+        whole = [part for part in new if part in wholes]
+        self._ask([part for part in new if part not in wholes])
+        for part, found in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self._fresh[part] = np.array(found.ids, np.uint32).tobytes()
+        known = self._fresh.__getitem__
+        return [b"".join(map(known, parts)) for parts in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -163,10 +169,10 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int | None, doc_id: s
         run, "doc_id long, ids binary")
 
 
-_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()),
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int32()),
                     ("planes", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64())),
                     ("at", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
-_BLOCK_SQL = ("part int, block long, n_ids int, planes array<binary>, doc_ids array<long>, "
+_BLOCK_SQL = ("part int, block long, first long, n_ids int, planes array<binary>, doc_ids array<long>, "
               "at array<long>, lengths array<long>")
 
 
@@ -182,13 +188,13 @@ def write_ids(tokens: DataFrame, path: str, unit: str = "byte", block_ids: int =
         index: list[tuple[int | None, int, int]] = []
 
         def row(ids: np.ndarray, docs: list) -> pa.RecordBatch:
-            columns = [[part], [block], [len(ids)], [planes_of(ids, unit)], *([list(c)] for c in zip(*docs))]
-            columns += [[[]]] * (7 - len(columns))
+            columns = [[part], [block], [block * block_ids], [len(ids)], [planes_of(ids, unit)], *([list(c)] for c in zip(*docs))]
+            columns += [[[]]] * (8 - len(columns))
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u4")
+                ids = _unpacked(raw)
                 index.append((doc, seen, len(ids)))
                 waiting.append(ids)
                 held += len(ids)
@@ -197,56 +203,66 @@ def write_ids(tokens: DataFrame, path: str, unit: str = "byte", block_ids: int =
                     joined = np.concatenate(waiting)
                     end = (block + 1) * block_ids
                     yield row(joined[:block_ids], [d for d in index if d[1] < end])
-                    index = [d for d in index if d[1] >= end]
+                    index = [d for d in index if d[1] >= end or d[1] + d[2] > end]
                     waiting, held, block = [joined[block_ids:]], held - block_ids, block + 1
         if held or index:
             yield row(np.concatenate([np.zeros(0, "<u4"), *waiting]), index)
 
-    tokens = stage(tokens.select("doc_id", "ids"), "tokens")
+    tokens = stage(tokens.select("doc_id", "ids").mapInArrow(_pack, "doc_id long, ids binary"), "tokens")
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, _BLOCK_SQL).write.option("compression", "uncompressed").parquet(path)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's ids as compressed byte planes, for the way to its file."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in slices(batches):
+        packed = [squeeze.compress(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes())
+                  for raw in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the documents in files under ``path``.
 
-    ``start`` counts the ids of all documents before. Blocks of one file are
-    read in order by one task, which holds one document at a time.
+    ``start`` counts the ids of all documents before. Every block is read where
+    it lies; only documents that go on from one block to the next are put
+    together by a shuffle of their pieces.
     """
     blocks = spark.read.schema(_BLOCK_SQL).parquet(path)
     # One row per file.
     starts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(
         F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_before"))
-    together = blocks.repartition("part").sortWithinPartitions("part", "block")
-    schema = "part int, doc_id long, at long, n_tokens long, ids binary"
-    found = together.mapInArrow(_documents, schema)
-    return found.join(F.broadcast(starts), "part").select(
+    schema = "part int, doc_id long, at long, n_tokens long, block long, ids binary"
+    whole = blocks.mapInArrow(lambda batches: _documents(batches, True), schema).drop("block")
+    pieces = blocks.mapInArrow(lambda batches: _documents(batches, False), schema)
+    keys = ["part", "doc_id", "at", "n_tokens"]
+    joined = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("_p")).select(
+        *keys, F.aggregate("_p", F.lit(b""), lambda done, piece: F.concat(done, piece["ids"])).alias("ids"))
+    return whole.unionByName(joined).join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("_before") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["part", "doc_id", "at", "n_tokens", "ids"]
-    open_docs: list[list] = []  # part, doc_id, at, length; only the last may lack ids
-    have: list[np.ndarray] = []
-    held = 0
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
+def _documents(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Documents that lie in one block, or else the pieces of those that do not."""
+    names = ["part", "doc_id", "at", "n_tokens", "block", "ids"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
-        for block in batch.to_pylist():
-            open_docs += [[block["part"], *d] for d in zip(block["doc_ids"], block["at"], block["lengths"])]
-            have.append(ids_of(block["planes"], block["n_ids"]))
-            held += block["n_ids"]
-            if open_docs and open_docs[0][3] > held:
+        for at in range(batch.num_rows):
+            block = batch.slice(at, 1).to_pylist()[0]
+            docs = list(zip(block["doc_ids"], block["at"], block["lengths"], strict=True))
+            first, end = block["first"], block["first"] + block["n_ids"]
+            wanted = [d for d in docs if (d[1] >= first and d[1] + d[2] <= end) == whole]
+            if not wanted:
                 continue
-            joined, at, done = np.concatenate(have), 0, []
-            while open_docs and open_docs[0][3] <= held - at:
-                part, doc, start, length = open_docs.pop(0)
-                done.append((part, doc, start, length, joined[at:at + length].tobytes()))
-                at += length
-            have, held = [joined[at:]], held - at
-            if done:
-                yield emit(done)
+            ids = ids_of(block["planes"], block["n_ids"])
+            rows = [(block["part"], doc, start, length, block["block"],
+                     ids[max(start, first) - first:min(start + length, end) - first].tobytes())
+                    for doc, start, length in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

@@ -27,7 +27,7 @@ SPACE = "▁"
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 _BREAK = "\n"
 #: Chunks remembered by a worker; frequent ones survive a change of generation.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 UNKNOWN_TEXT = " ⁇ "
 #: Chunks up to this length are encoded together, so many at a time.
 _SHORT, _TOGETHER = 40, 4096

@@ -35,7 +35,7 @@ WIDTH = BUCKETS + 1
 STEPS, RATE, SHRINK = 300, 0.3, 2e-5
 #: Limits of the documents that a prior is worth.
 LEAST, MOST = 2.0, 1e6
-_REMEMBERED = 100_000
+_REMEMBERED = 50_000
 _REPEAT = re.compile(r"(.)\1+")
 
 

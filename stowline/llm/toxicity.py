@@ -36,7 +36,7 @@ MIN_TEXTS, MIN_TOXIC = 3, 0.4
 #: Lengths of the word beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 100_000
+_REMEMBERED = 50_000
 
 
 @lru_cache(maxsize=30_000)

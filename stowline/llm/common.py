@@ -25,6 +25,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def strings(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts as Python strings, few of them at a time."""
+    for start in range(0, len(texts), rows):
+        yield from texts.slice(start, rows).to_pylist()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, unless it is one already."""
     return df if most_rows(df) is not None else stage(df, label)

@@ -17,13 +17,12 @@ from itertools import chain
 from math import exp, fsum
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import slices
+from stowline.llm.common import slices, strings
 from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
 from stowline.sources.staging import stage
 
@@ -156,11 +155,11 @@ def score_column(spark, model: Model, text: Column) -> Column:
     """Score of each whole text, 0 to 1; null and empty texts have the bias alone."""
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
         for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+            yield pa.array(map(own.score, strings(texts)), pa.float64())
 
     return score(text)
 

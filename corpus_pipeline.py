@@ -31,8 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are rather good than not, given their words and their site."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

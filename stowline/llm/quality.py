@@ -12,18 +12,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import checked_broadcast, slices
+from stowline.llm.common import checked_broadcast, slices, strings
 from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
 from stowline.sources.staging import measures_of, stage
 
@@ -109,12 +108,12 @@ def evidence_column(spark, weights: np.ndarray, text: Column) -> Column:
     """Log odds of each whole text under the training share; null and blank texts have the bias alone."""
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shapes, w = Shapes(), shared.value
         for texts in batches:
-            found = [shapes.of(t) for t in texts]
-            yield pd.Series([w[-1] + float((w[f] * v).sum()) for f, v in found], dtype="float64")
+            found = map(shapes.of, strings(texts))
+            yield pa.array([w[-1] + float((w[f] * v).sum()) for f, v in found], pa.float64())
 
     return evidence(text)
 
@@ -155,32 +154,39 @@ def posterior(log_odds: Column, share: float, path_share: Column) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", doc_id: str = "doc_id",
-          text: str = "text", label: str = "quality", keep: tuple[str, ...] | None = None) -> DataFrame:
+          text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, host, path, held_out, log_odds, host_share, path_share, score and predicted of every document.
 
-    With ``keep``, those columns and score and predicted instead; texts are then
-    read again rather than carried through a shuffle. ``predicted`` is 1 where
-    the score is at least 0.5. Null hosts and paths are sites; null and blank
-    texts have the bias as evidence; repeated rows are judged alike and count
-    each in their site. Other columns are ignored.
+    ``predicted`` is 1 where the score is at least 0.5. Null hosts and paths are
+    sites; null and blank texts have the bias as evidence; repeated rows are
+    judged alike and count each in their site. Other columns are ignored.
+    """
+    return _scored(docs, labels, host, path, doc_id, text, label, ()).select(
+        "doc_id", "host", "path", held_out(F.col("doc_id")).alias("held_out"), "log_odds", "host_share", "path_share",
+        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", doc_id: str = "doc_id",
+              text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` predicts to be good, with all their columns, whatever their names."""
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")]
+    return _scored(docs, labels, host, path, doc_id, text, label, rows).filter("score >= 0.5").select("_row.*")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id: str, text: str, label: str,
+            carried: Sequence[Column]) -> DataFrame:
+    """Evidence, site shares and score of every document, and ``carried`` columns.
+
+    Evidence costs far more than writing a row, so carried columns are written
+    beside it, and the sites read only the three columns they need.
     """
-    spark = docs.sparkSession
     weights, share = train(docs, labels, doc_id, text, label)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).alias("host"),
-                         F.col(path).alias("path"), evidence_column(spark, weights, F.col(text)).alias("log_odds"))
-    narrow = stage(narrow, "evidence")
-    sites = site_posteriors(narrow)
+    rows = stage(docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"),
+        evidence_column(docs.sparkSession, weights, F.col(text)).alias("log_odds"), *carried), "evidence")
+    sites = site_posteriors(rows)
     known = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_share", "path_share")
     known.staged_measures = measures_of(sites)
-    score = posterior(F.col("log_odds"), share, F.col("path_share"))
-    if keep is None:
-        left = narrow.withColumn("held_out", held_out(F.col("doc_id")))
-        same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
-        return left.join(checked_broadcast(known), same).withColumn("score", score).select(
-            "doc_id", "host", "path", "held_out", "log_odds", "host_share", "path_share", "score",
-            (F.col("score") >= 0.5).cast("int").alias("predicted"))
-    left = docs.select(F.struct(*keep).alias("_row"), F.col(host).alias("_host"), F.col(path).alias("_path"),
-                       evidence_column(spark, weights, F.col(text)).alias("log_odds"))
-    same = F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))
-    return left.join(checked_broadcast(known), same).select(
-        "_row", score.alias("score")).select("_row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
+    return rows.join(checked_broadcast(known), same).withColumn(
+        "score", posterior(F.col("log_odds"), share, F.col("path_share")))

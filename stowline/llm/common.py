@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,12 +13,24 @@ from stowline import settings
 from stowline.sources.staging import most_rows, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Most bytes of a batch of whole texts on its way to Python; a longer text goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``, so that their memory doesn't grow with the texts."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(_BATCH).strip().lower()).groups()
+    now = int(number) * _UNITS.get(unit, BATCH_BYTES)
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of few rows, so that long texts don't add up in a worker."""
     for batch in batches:

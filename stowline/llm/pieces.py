@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowline.llm.common import slices
+from stowline.llm.common import bound_batches, slices
 
 SPACE = "▁"
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
@@ -308,6 +308,7 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tu
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], _lists(encoded), decoded], [*batch.schema.names[:-1], "ids", "decoded"])
 
+    bound_batches(kept.sparkSession)
     return kept.mapInArrow(run, schema)
 
 
@@ -328,6 +329,7 @@ def decode_ids(rows: DataFrame, model_file: str, ids: str = "ids", keep: tuple[s
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(decoded, pa.string())],
                                              [*batch.schema.names[:-1], "decoded"])
 
+    bound_batches(kept.sparkSession)
     return kept.mapInArrow(run, schema)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import checked_broadcast, slices, strings
+from stowline.llm.common import bound_batches, checked_broadcast, slices, strings
 from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
 from stowline.sources.staging import measures_of, stage
 
@@ -71,6 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     their doc_id, weighted back to the labels' share. Contradicting labels count
     as good. Without labels of both classes all documents have the same evidence.
     """
+    bound_batches(docs.sparkSession)
     known = stage(labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("y")).filter(
         F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("y").alias("y")), "labels", good=F.count_if(F.col("y") == 1))
@@ -106,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def evidence_column(spark, weights: np.ndarray, text: Column) -> Column:
     """Log odds of each whole text under the training share; null and blank texts have the bias alone."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")

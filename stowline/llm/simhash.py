@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import checked_broadcast, slices
+from stowline.llm.common import bound_batches, checked_broadcast, slices
 from stowline.llm.components import components
 from stowline.sources.staging import most_rows, stage
 
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.int64))], ["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
         run, "doc_id long, fp long")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import slices, strings
+from stowline.llm.common import bound_batches, slices, strings
 from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
 from stowline.sources.staging import stage
 
@@ -78,6 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     by default that among labelled rows. Labels that contradict each other count
     as toxic. Without a toxic label every score is below 0.5.
     """
+    bound_batches(docs.sparkSession)
     known = stage(labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("y")).filter(
         F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("y").alias("y")), "labels", toxic=F.count_if(F.col("y") == 1))
@@ -153,6 +154,7 @@ def _fit(positive: Sparse, unlabelled: Sparse, prior: float) -> np.ndarray:
 
 def score_column(spark, model: Model, text: Column) -> Column:
     """Score of each whole text, 0 to 1; null and empty texts have the bias alone."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     @F.arrow_udf("double")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,24 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+class Memory(dict):
+    """Values of a function of words. Of the words met before the last ``most``, those met again stay."""
+
+    def __init__(self, function: Callable[[str], Any], most: int):
+        super().__init__()
+        self._function, self._most, self._older = function, most, {}
+
+    def __missing__(self, word: str):
+        value = self._older.get(word)
+        if value is None:
+            value = self._function(word)
+        if len(self) >= self._most:
+            self._older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of few rows, so that long texts don't add up in a worker."""
     for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import bound_batches, checked_broadcast, slices, strings
+from stowline.llm.common import Memory, bound_batches, checked_broadcast, slices, strings
 from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
 from stowline.sources.staging import measures_of, stage
 
@@ -34,7 +34,7 @@ WIDTH = BUCKETS + 1
 STEPS, RATE, SHRINK = 300, 0.3, 2e-5
 #: Limits of the documents that a prior is worth.
 LEAST, MOST = 2.0, 1e6
-_REMEMBERED = 50_000
+_REMEMBERED = 40_000
 _REPEAT = re.compile(r"(.)\1+")
 
 
@@ -48,16 +48,11 @@ class Shapes:
     """Square roots of the shares of a text's words by hashed shape; remembers words."""
 
     def __init__(self):
-        self._known: dict[str, int] = {}
+        self._known = Memory(lambda word: xxhash.xxh32_intdigest(shape(word)) % BUCKETS, _REMEMBERED)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.split() if text else []
-        if len(self._known) > _REMEMBERED:
-            self._known.clear()
-        known = self._known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh32_intdigest(shape(word)) % BUCKETS
-        counts = Counter(map(known.__getitem__, words))
+        counts = Counter(map(self._known.__getitem__, words))
         counts[BUCKETS] = sum(map(eq, words, islice(words, 1, None)))
         places = np.array(sorted(counts), np.int64)
         return places, np.sqrt([counts[p] / max(len(words), 1) for p in places.tolist()])

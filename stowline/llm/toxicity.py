@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import bound_batches, slices, strings
+from stowline.llm.common import Memory, bound_batches, slices, strings
 from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
 from stowline.sources.staging import stage
 
@@ -35,7 +35,7 @@ MIN_TEXTS, MIN_TOXIC = 3, 0.4
 #: Lengths of the word beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 50_000
+_REMEMBERED = 40_000
 
 
 @lru_cache(maxsize=30_000)
@@ -55,16 +55,14 @@ class Model:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._known: dict[str, float] = {}
+        self._known = Memory(self._weight, _REMEMBERED)
+
+    def _weight(self, word: str) -> float:
+        return fsum([self.weights.get(f, 0.0) for f in word_features.__wrapped__(word)])
 
     def score(self, text: str | None) -> float:
         words = set(_WORD.findall(text.lower())) if text else set()
-        if len(self._known) > _REMEMBERED:
-            self._known.clear()
-        known = self._known
-        for word in words.difference(known):
-            known[word] = fsum(self.weights.get(f, 0.0) for f in word_features(word))
-        z = self.bias + fsum(map(known.__getitem__, words))
+        z = self.bias + fsum(map(self._known.__getitem__, words))
         return 1 / (1 + exp(-max(-60.0, min(60.0, z))))
 
 

@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to ``BATCH_BYTES``, so that their memory doesn't grow with the texts."""
-    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(_BATCH).strip().lower()).groups()
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(_BATCH).strip().lower()).groups()
     now = int(number) * _UNITS.get(unit, BATCH_BYTES)
-    if now <= 0 or now > BATCH_BYTES:
+    if now > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 

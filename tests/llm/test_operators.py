@@ -13,6 +13,7 @@ import sentencepiece
 import xxhash
 
 from stowline.llm import mixing, near_vectors, neighbours, page_text, pieces, quality, simhash, token_files, toxicity, urls
+from stowline.llm.common import BATCH_BYTES, Memory, bound_batches
 from stowline.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -320,3 +321,24 @@ def test_sql_and_pipeline(spark):
             docs = out
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert QUERIES["pipeline"](spark, SF).count() == out.count() > 0
+
+
+def test_memory_keeps_frequent_words_and_bounds_the_rest():
+    asked = []
+    memory = Memory(lambda word: asked.append(word) or len(word), 3)
+    words = ["of", "a", "of", "bb", "ccc", "of", "dddd", "of", "eeeee", "of", "a"]
+    assert [memory[w] for w in words] == [len(w) for w in words]
+    assert asked.count("of") == 1 and len(memory) <= 3
+
+
+def test_text_batches_are_only_ever_made_smaller(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, bound in (("64m", BATCH_BYTES), ("1g", BATCH_BYTES), ("1m", 1 << 20), ("2097152b", 2 << 20)):
+            spark.conf.set(name, given)
+            bound_batches(spark)
+            left = spark.conf.get(name)
+            assert left in (given, str(bound)) and (left == given) == (bound < BATCH_BYTES)
+    finally:
+        spark.conf.set(name, before)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowline.llm.common import bound_batches, checked_broadcast, slices
+from stowline.llm.common import bound_batches, checked_broadcast, slices, strings
 from stowline.llm.components import components
 from stowline.sources.staging import most_rows, stage
 
@@ -109,42 +109,62 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     component has no other. Other columns are ignored.
     """
     marked = stage(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    named = stage(_components(marked, max_bits).select("fp", "component_id"), "named")
+    return marked.join(checked_broadcast(named), "fp").select("doc_id", "fp", "component_id")
+
+
+def _components(marked: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id) of each distinct fingerprint of ``marked`` (doc_id, fp).
+
+    ``component`` is a fingerprint and tells components without any doc_id apart too.
+    """
     classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     pairs = stage(near_fingerprints(classes, max_bits).distinct(), "pairs") if max_bits else None
     if pairs is None or not most_rows(pairs):
-        named = classes.withColumnRenamed("first", "component_id")
-    else:
-        roots = stage(components(pairs), "roots")
-        linked = roots.join(classes, F.col("node") == F.col("fp"))
-        least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-        linked = linked.join(least, "component").select("fp", "component_id")
-        alone = classes.join(roots, F.col("node") == F.col("fp"), "left_anti").toDF("fp", "component_id")
-        named = linked.unionByName(alone)
-    return marked.join(checked_broadcast(stage(named, "named")), "fp").select("doc_id", "fp", "component_id")
+        return classes.select("fp", F.col("fp").alias("component"), F.col("first").alias("component_id"))
+    roots = stage(components(pairs), "roots")
+    linked = roots.join(classes, F.col("node") == F.col("fp"))
+    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = linked.join(least, "component").select("fp", "component", "component_id")
+    alone = classes.join(roots, F.col("node") == F.col("fp"), "left_anti").select(
+        "fp", F.col("fp").alias("component"), F.col("first").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def _fingerprint_column(docs: DataFrame, text: str, shingle: int) -> Column:
+    """The fingerprint of each whole text, as a signed long."""
+    bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = np.array([fingerprint(t, shingle) for t in strings(texts)], np.uint64)
+            yield pa.array(found.astype(np.int64))
+
+    return run(F.col(text))
 
 
 def keep_firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps its document with the smallest doc_id.
+    """The rows of ``docs`` that stay when each component keeps one, that with the smallest doc_id.
 
-    All columns stay. Rows that repeat a doc_id are one document: the row with
-    the smallest text stays. Components of null doc_ids only keep one row each
-    fingerprint.
+    All columns stay. Rows are judged by their own texts: a doc_id repeated with
+    other texts has a row in each component it is in, and each component is
+    judged for itself. Null doc_ids come last. Of a component's rows with one
+    doc_id, that with the smallest text stays, then by the other columns.
     """
-    found = stage(near_texts(docs, doc_id, text, shingle, max_bits), "found")
-    gone = stage(found.filter("doc_id != component_id or (doc_id is null and component_id is not null)")
-                 .select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeats = ids.filter("n > 1").limit(1).count() > 0
-    kept = docs.join(checked_broadcast(gone), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    if not repeats:
-        return kept
-    twice = stage(ids.filter("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
-    on = F.col(doc_id).eqNullSafe(F.col("_twice"))
-    once = kept.join(checked_broadcast(twice), on, "left_anti")
-    many = kept.join(checked_broadcast(twice), on, "left_semi")
-    sign = F.when(F.col(doc_id).isNull(), F.xxhash64(text))
-    first = many.groupBy(F.col(doc_id).alias("_id"), sign.alias("_sign")).agg(
+    marked = stage(docs.withColumn("_fp", _fingerprint_column(docs, text, shingle)), "marked")
+    named = stage(_components(marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_fp").alias("fp")),
+                              max_bits).toDF("_fp", "_component", "_least"), "named")
+    firsts = marked.join(checked_broadcast(named), "_fp").filter(
+        F.col(doc_id).cast("long").eqNullSafe(F.col("_least")))
+    ties = stage(firsts.groupBy("_component").count().filter("count > 1").select(
+        F.col("_component").alias("_tied")), "ties")
+    if not most_rows(ties):
+        return firsts.select(*docs.columns)
+    on = F.col("_component") == F.col("_tied")
+    once = firsts.join(checked_broadcast(ties), on, "left_anti").select(*docs.columns)
+    least = firsts.join(checked_broadcast(ties), on, "left_semi").groupBy("_component").agg(
         F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(text, F.lit("")), *[
             c for c in docs.columns if c != text])).alias("_row"))
-    return once.unionByName(first.select("_row.*"))
+    return once.unionByName(least.select("_row.*"))

@@ -217,6 +217,27 @@ def test_simhash(spark, docs):
     assert simhash.near_texts(docs([])).count() == 0 and simhash.keep_firsts(docs([])).count() == 0
 
 
+def test_keep_firsts_judges_rows_by_their_own_texts(spark, docs):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+
+    def kept(rows):
+        return sorted(((r.doc_id, r.text) for r in simhash.keep_firsts(docs(rows)).collect()), key=repr)
+
+    # A null id beside a copy with an id takes no other row without an id along.
+    assert kept([(1, x), (None, x), (None, y), (None, z), (None, z)]) == [(1, x), (None, y), (None, z)]
+    # A repeated id goes only where its text is a copy.
+    assert kept([(3, x), (7, x), (7, y), (9, y)]) == [(3, x), (7, y)]
+    assert kept([(7, x), (7, y), (7, x)]) == [(7, x), (7, y)]
+
+
+def test_null_ids_keep_one_row_of_near_texts(spark, docs):
+    words = [f"w{i}" for i in range(400)]
+    texts = {plain_fingerprint(" ".join(words[:n])): " ".join(words[:n]) for n in range(200, 401)}
+    near = next((texts[a], texts[b]) for a in texts for b in texts if 0 < (a ^ b).bit_count() <= 2)
+    out = simhash.keep_firsts(docs([(None, near[0]), (None, near[1]), (None, "p q r s t")])).collect()
+    assert sorted(r.text for r in out) == sorted([min(near), "p q r s t"])
+
+
 def test_near_fingerprints(spark):
     draw = random.Random(4)
     base = [draw.getrandbits(64) for _ in range(40)]

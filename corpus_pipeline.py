@@ -41,10 +41,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; most sources are repeated, some are cut."""
-    copies = stage(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "copies")
-    taken = copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    taken.staged_measures = copies.staged_measures
-    return docs.join(checked_broadcast(taken), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn(
+    # Ids can repeat or be null, so each row has a number of its own; among rows of one id, their content decides.
+    rows = stage(docs.withColumns({"_sign": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()}), "rows")
+    mixed = mixing.mix(rows, keep=("_sign", "_row")).filter("copies > 0")
+    taken = stage(mixed.select("_row", F.col("copies").alias("_copies")), "copies")
+    return rows.join(checked_broadcast(taken), "_row").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

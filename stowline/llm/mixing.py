@@ -101,28 +101,29 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS,
-        seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every document.
+        seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns and (doc_id, size, source_size, target, copies, taken) of every document.
 
     ``copies`` says how often the mix takes it (0 to ``rounds``), ``taken`` the
     words of those. The order of a source is by the hash of ``seed`` and doc_id,
     so reruns agree. Null texts have size 0; a null source is a source; a null
     doc_id hashes as the empty text. Repeated rows are documents of their own.
-    Documents of a source without words are not taken. Other columns are ignored.
+    Documents of a source without words are not taken. Documents alike in source,
+    doc_id and size stand in the order of ``keep``. Other columns are ignored.
     """
     sized = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"),
-                              words_in(F.col(text)).alias("size")), "sized")
+                              words_in(F.col(text)).alias("size"), *keep), "sized")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, rounds)
     same = F.col("s.source").eqNullSafe(F.col("g.source"))
     shuffled = sized.alias("s").join(checked_broadcast(goal).alias("g"), same).select(
-        "doc_id", "size", "rank", "source_size", "target",
+        "doc_id", "size", "rank", "source_size", "target", *keep,
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("turn"))
-    offered = stage(running_sums(shuffled, ["turn", "doc_id", "size"], {"offered": "size"}, "rank"), "offered")
+    offered = stage(running_sums(shuffled, ["turn", "doc_id", "size", *keep], {"offered": "size"}, "rank"), "offered")
 
     def finish(again: Column) -> Column:
         return F.try_divide((again * F.col("source_size") + F.col("offered")).cast("double"), F.col("target"))
 
-    place = ["rank", "turn", "doc_id", "size"]
+    place = ["rank", "turn", "doc_id", "size", *keep]
     items = offered.withColumn("again", F.explode(F.array(*[F.lit(r).cast("long") for r in range(rounds)])))
     items = items.select(finish(F.col("again")).alias("finish"), *place, "again").filter("finish is not null")
     budget = share * (sized.agg(F.sum("size")).first()[0] or 0)
@@ -138,5 +139,5 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                       for r in range(rounds)), F.lit(0))
         copies = F.when(finish(F.lit(0)).isNull(), 0).otherwise(copies)
     return offered.withColumn("copies", copies.cast("int")).select(
-        "doc_id", "size", "source_size", "target", "copies",
+        *keep, "doc_id", "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -3,7 +3,7 @@
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -344,6 +344,26 @@ def test_sql_and_pipeline(spark):
     assert QUERIES["pipeline"](spark, SF).count() == out.count() > 0
 
 
+def test_mixed_rows_of_one_id_have_their_own_copies(spark, docs):
+    import corpus_pipeline
+    draw = random.Random(9)
+    rows = [(None if i % 3 else 7, f"t{i} " + "w " * draw.randrange(1, 40), draw.choice("abcd")) for i in range(150)]
+    rows += [(None, "same text", "a")] * 5
+    mixed = mixing.mix(docs(rows)).collect()
+    assert len({r.copies for r in mixed if r.doc_id is None}) > 1
+    outs = [Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, frame, SF).collect())
+            for frame in (docs(rows), docs(rows[::-1]).repartition(3))]
+    assert outs[0] == outs[1] and all(n <= 2 * rows.count(row) for row, n in outs[0].items())
+    sizes = Counter((r.doc_id, r.size, r.source_size) for r in mixed for _ in range(r.copies))
+    of_source = Counter()
+    for _, text, source in rows:
+        of_source[source] += len(text.split())
+    own = Counter()
+    for (doc_id, text, source), n in outs[0].items():
+        own[doc_id, len(text.split()), of_source[source]] += n
+    assert own == sizes  # the mix's own decision, row by row, so within its budget
+
+
 def test_memory_keeps_frequent_words_and_bounds_the_rest():
     asked = []
     memory = Memory(lambda word: asked.append(word) or len(word), 3)

@@ -176,6 +176,18 @@ def test_page_texts(spark):
     assert page_text.page_texts(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_not_its_neighbours(spark):
+    plain = "<div>site line</div><div>{}</div><div>last</div>"
+    rows = [(1, "http://a.com/1", plain.format("own 1"))] * 3 + [(2, "http://a.com/2", plain.format("own 2"))] * 2
+    rows += [(3, "http://b.com/x?a=1", plain.format("twin")), (4, "http://b.com/x?a=2", plain.format("twin")),
+             (5, "http://b.com/x?a=2#f", plain.format("twin")), (6, "http://b.com/y", plain.format("other"))]
+    rows += [(7, "http://c.com/", plain.format("alone"))] * 2 + [(None, None, plain.format("no url"))] * 2
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = sorted(((r.page_id, r.text) for r in page_text.page_texts(frame).collect()), key=repr)
+    assert out == sorted([(1, "own 1")] * 3 + [(2, "own 2")] * 2 + [(3, "twin"), (4, "twin"), (5, "twin"), (6, "other")]
+                         + [(7, "site line alone last")] * 2 + [(None, "site line no url last")] * 2, key=repr)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     draw = random.Random(2)
     for _ in range(200):

@@ -176,6 +176,27 @@ def test_page_texts(spark):
     assert page_text.page_texts(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<body><div class='site has-sidebar'><main><article><p>a</article></main></div>", "a"),
+    ("<div class='no-sidebar'><article>a</article><div class='Share x'>s</div></div>", "a"),
+    ("<div id='social-wall' class='no-menu'>a</div><div class='menu'>m</div>", "a"),
+    ("<div class='sidebar'>s<article>a<div class='comments'>c<article>d</article></div></article>s</div>", "a"),
+    ("<div class='widget'><div role='main'>a</div></div>", "a"),
+    ("<article>a</article><div class='sidebar'><article>teaser</article></div>", "a"),
+    ("<nav><article>a</article></nav><div role='banner'><main>b</main></div>", ""),
+    ("<head><title>t</title><body><p>a", "a"),
+    ("<html><head><title>t</title><meta name=x><p>a<div>b</div>", "a b"),
+    ("<head><title>t</title><script>s</script> a <b>b</b>", "a b"),
+    ("<head><noscript><img><p>n</p></noscript><title>t</title></head><body>a</body>", "a"),
+    ("<head><noscript><p>n<body>a</body>", "a"),
+])
+def test_layout_names_and_open_heads_leave_the_text(html, text):
+    lines = page_text.lines_of(html)
+    if any(region == page_text.CONTENT for _, region in lines):
+        lines = [x for x in lines if x[1] == page_text.CONTENT]
+    assert " ".join(line for line, region in lines if region != page_text.SITE) == text
+
+
 def test_copies_of_a_page_are_not_its_neighbours(spark):
     plain = "<div>site line</div><div>{}</div><div>last</div>"
     rows = [(1, "http://a.com/1", plain.format("own 1"))] * 3 + [(2, "http://a.com/2", plain.format("own 2"))] * 2

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -221,6 +222,30 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(found) == best[-1][-1] and found == sorted(set(found)) and all(a[i] in rest for i in found)
 
 
+@pytest.mark.parametrize("matches, frequent", [(0.01, 256), (0.01, 1), (0.3, 2)])
+def test_halved_lines_are_a_longest_common_subsequence(monkeypatch, matches, frequent):
+    monkeypatch.setattr(page_text, "MATCHES", matches)
+    monkeypatch.setattr(page_text, "FREQUENT", frequent)
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ([draw.randrange(4) for _ in range(draw.randrange(40))] for _ in range(2))
+        found, rest = page_text.shared_lines(a, b), iter(b)
+        assert len(found) == len(page_text._rising_partners(a, b))
+        assert found == sorted(set(found)) and all(a[i] in rest for i in found)
+
+
+def test_long_pages_of_repeated_lines_are_aligned_in_little_memory():
+    draw = random.Random(4)
+    for lines in (1, 2, 600):
+        a, b = ([draw.randrange(lines) for _ in range(n)] for n in (3_000, 2_900))
+        tracemalloc.start()
+        found = page_text.shared_lines([-1, *a, -2], [-3, *b, -4])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 4_000_000  # one tuple for each match: hundreds of MB for few lines
+        assert len(found) == 2_900 if lines == 1 else 0 < len(found) < 2_900
+
+
 # 7
 
 def plain_fingerprint(text):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stowline.llm.common import checked_broadcast
 from stowline.llm.components import components
-from stowline.llm.vectors import matrix, usable
+from stowline.llm.vectors import matrix, unusable, usable
 from stowline.sources.staging import most_rows, stage
 
 #: Classes in the sample that centres are fitted on, centres, and rows aimed at in a shard.
@@ -46,12 +46,11 @@ def near_vectors(rows: DataFrame, at_least: float = 0.95, vec_id: str = "vec_id"
     link with each other, also if they repeat an id. Other columns are ignored.
     Vectors of another length than most stop the job.
     """
-    every = rows.select(F.col(vec_id).cast("long").alias("vec_id"))
     good = stage(usable(rows, vec_id, embedding), "vectors")
     classes = stage(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     found = _link_classes(classes, at_least) if most_rows(classes) else None
 
-    alone = every.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select(
+    alone = unusable(rows, vec_id, embedding).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = alone
     if found is not None:

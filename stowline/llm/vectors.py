@@ -6,19 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
 
 
 def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, vec) of rows whose vector is not null, empty or zero and all finite."""
+    """(vec_id, vec) of rows with an id whose vector is not null, empty or zero and all finite."""
+    return _plain(rows, vec_id, embedding).filter(_usable())
+
+
+def unusable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, vec) of all other rows."""
+    return _plain(rows, vec_id, embedding).filter(~F.coalesce(_usable(), F.lit(False)))
+
+
+def _plain(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    return rows.select(F.col(vec_id).cast("long").alias("vec_id"),
+                       F.col(embedding).cast("array<double>").alias("vec"))
+
+
+def _usable() -> Column:
     vec = F.col("vec")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.select(F.col(vec_id).cast("long").alias("vec_id"),
-                       F.col(embedding).cast("array<double>").alias("vec")).filter(
-        vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0) & F.col("vec_id").isNotNull())
+    return vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0) & F.col("vec_id").isNotNull()
 
 
 def matrix(column: pa.Array) -> np.ndarray:

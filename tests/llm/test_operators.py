@@ -133,6 +133,14 @@ def test_near_vectors(spark, monkeypatch, shard_rows):
     assert near_vectors.audit_recall(frame, near_vectors.near_vectors(frame)) == 1.0
 
 
+def test_unusable_vectors_of_a_repeated_id_stay(spark):
+    rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (1, [math.nan, 1.0]), (1, [None, 1.0]), (2, [1.0, 0.01]),
+            (None, [1.0, 0.0]), (3, [])]
+    out = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted(
+        [(1, 1, 1, True), (2, 1, 1, False), *[(1, 0, 1, True)] * 4, (None, 0, None, True), (3, 0, 3, True)], key=repr)
+
+
 @pytest.mark.parametrize("split", [20_000, 10])
 def test_neighbours(spark, monkeypatch, split):
     monkeypatch.setattr(neighbours, "SPLIT", split)

@@ -40,6 +40,7 @@ CHUNK_BYTES = 1024 * 1024
 HOT_ROWS = 1_000_000        # a group above this many rows is split over tasks
 BROADCAST_ROWS = 1_000_000  # a key list above this many rows is shuffled, not broadcast
 PART_ROWS = 1_000_000       # rows sorted in one task, unless the session shuffles into more parts
+BLOOM_BLOCKS = 1 << 20      # blocks of 8 bytes in a Bloom filter at most
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -50,6 +51,12 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.stowline.broadcastRows", str(BROADCAST_ROWS)))
 
 
+def bloom_blocks(spark: SparkSession) -> int:
+    """A power of two."""
+    asked = int(spark.conf.get("spark.stowline.bloomBlocks", str(BLOOM_BLOCKS)))
+    return 1 << (max(1, asked).bit_length() - 1)
+
+
 def reading_tasks(spark: SparkSession) -> int:
     """Tasks for work whose cost does not show in bytes: opening files, listing folders."""
     return max(4 * spark.sparkContext.defaultParallelism,

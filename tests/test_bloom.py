@@ -22,7 +22,7 @@ def test_holds_every_key_and_few_strangers(spark):
     n = blocks_for(spark, 10_000)
     keys = spark.range(10_000)
     found = keep_possible(spark.range(200_000), id_hash(), bloom_blocks(keys, id_hash(), n), n)
-    inside, strangers = found.agg(F.count_if("id < 10000"), F.count_if("id >= 10000")).first()
+    inside, strangers = found.agg(F.count_if(F.col("id") < 10000), F.count_if(F.col("id") >= 10000)).first()
     assert inside == 10_000
     assert strangers / 190_000 < 0.02
 

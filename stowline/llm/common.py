@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -32,6 +33,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has batches of at most ``BATCH_BYTES``; the session is as before afterwards."""
+    before = spark.conf.get(_BATCH)
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Memory(dict):
     """Values of a function of words. Of the words met before the last ``most``, those met again stay."""
 

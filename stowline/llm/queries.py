@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowline.llm import (mixing, near_vectors, neighbours, page_text, pieces, quality, simhash, token_files,
-                          toxicity, urls)
+from stowline.llm import (collocations, mixing, near_vectors, neighbours, packing, page_text, pieces, quality,
+                          simhash, spelling, token_files, toxicity, urls)
 from stowline.llm.common import table
 from stowline.sources.staging import staging_root
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
              ("allow", "com/fr/"), ("block", "com/de/")]
-PIECES, WORD_IDS, END_ID = "piece_bpe_32k.model", "word_bpe_49k.json", 2
+PIECES, WORD_IDS, END_ID, PACK_END_ID = "piece_bpe_32k.model", "word_bpe_49k.json", 2, 1
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_IDS), PACK_END_ID).drop("part", "ids")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +86,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pieces, op3_token_files, op4_near_vectors, op5_page_text,
-                                   op6_neighbours, op7_simhash, op8_mixing, op9_quality, op10_toxicity, pipeline)}
+                                   op6_neighbours, op7_simhash, op8_mixing, op9_quality, op10_toxicity,
+                                   op11_collocations, op12_spelling, op13_packing, pipeline)}
 
 _OP1 = """
 with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest
@@ -118,4 +131,27 @@ select o.doc_id, o.size, o.source_size, o.target, (coalesce(t.copies, 0) * o.siz
 from offered o left join taken t on o.doc_id = t.doc_id and o.rank = t.rank and o.size = t.size
 """
 
-ORACLE = {"op1_url_filter": _OP1, "op8_mixing": _OP8}
+_OP11 = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+parted as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+grams as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2),
+    lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from parted, range(1, 6) t(k)),
+f as (select lang, k, phrase, count(*)::bigint as a from grams group by all),
+lengths as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+candidates as (select * from f where k >= 2 and a >= 100),
+kept as (select * from candidates c where not exists (select 1 from candidates o where o.lang = c.lang and o.k > c.k
+    and 100 * o.a >= 100 * c.a and contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts as (select kept.lang, kept.phrase, kept.a, n, cut, hd.a as l, rs.a as r,
+    (1000::hugeint * kept.a * n) // (hd.a::hugeint * rs.a) as score
+    from kept join lengths using (lang), range(1, 5) t(cut), f hd, f rs
+    where cut < kept.k and hd.lang = kept.lang and rs.lang = kept.lang
+    and hd.phrase = array_to_string(string_split(kept.phrase, ' ')[:cut], ' ')
+    and rs.phrase = array_to_string(string_split(kept.phrase, ' ')[cut + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n,
+    score::bigint as score
+from best qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
+ORACLE = {"op11_collocations": _OP11, "op1_url_filter": _OP1, "op8_mixing": _OP8}

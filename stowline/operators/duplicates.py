@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from stowline import settings
 from stowline.functions.digests import content_digest, digest_by_path
 from stowline.functions.names import scan_key
+from stowline.operators.bloom import blocks_for, bloom_blocks, keep_possible
 from stowline.operators.matching import keep_matching
 from stowline.operators.ordinal import number_within, with_ordinal
 from stowline.sources.staging import measures_of, most_rows, stage
+from stowline.sources.stores import deal_by_bytes
 
 CHUNK_MEMBERS = 100_000  # members of one group joined in one task
 
@@ -23,22 +25,29 @@ def shared_sizes(files: DataFrame) -> DataFrame:
     return size_counts(files.filter("size is not null")).filter("n_files >= 2")
 
 
-def with_shared_size(files: DataFrame) -> DataFrame | None:
-    """Files that share a size with another, filtered in the scan.
+def with_shared_size(files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Files that may share a size with another, filtered in the scan, and what makes the filter exact.
 
     The shorter of the two lists, shared or unique sizes, is broadcast so that
-    contents are not shuffled. None when neither list is short enough.
+    contents are not shuffled, and None is returned with it. When neither list
+    is short enough, a Bloom filter of the shared sizes takes its place: it has a
+    bounded size and lets few others through; the table of shared sizes that
+    then comes second is to be matched once the rows are narrow.
     """
+    spark = files.sparkSession
     files = files.filter("size is not null")
     sizes = stage(size_counts(files), "sizes", shared=F.count_if(F.col("n_files") >= 2),
                   unique=F.count_if(F.col("n_files") == 1))
-    limit = settings.broadcast_rows(files.sparkSession)
+    limit = settings.broadcast_rows(spark)
     shared, unique = (measures_of(sizes)[m] for m in ("shared", "unique"))
+    found = sizes.filter("n_files >= 2").select("size")
     if min(shared, unique) > limit:
-        return None
+        blocks = blocks_for(spark, shared)
+        key = F.xxhash64("size")
+        return keep_possible(files, key, bloom_blocks(found, key, blocks), blocks), found
     if shared <= unique:
-        return files.join(F.broadcast(sizes.filter("n_files >= 2").select("size")), "size", "left_semi")
-    return files.join(F.broadcast(sizes.filter("n_files = 1").select("size")), "size", "left_anti")
+        return files.join(F.broadcast(found), "size", "left_semi"), None
+    return files.join(F.broadcast(sizes.filter("n_files = 1").select("size")), "size", "left_anti"), None
 
 
 def digest_table(files: DataFrame, algorithm: str | None = None) -> DataFrame:
@@ -55,20 +64,16 @@ def digest_table(files: DataFrame, algorithm: str | None = None) -> DataFrame:
         *kept, F.lit(None).cast("string").alias("digest"), F.lit("size unknown").alias("error"))
     files = files.filter("size is not null")
     if "content" not in files.columns:
-        listed = files.select(*kept)
-        chosen = with_shared_size(listed)
-        if chosen is None:
-            chosen = keep_matching(listed, shared_sizes(listed), ["size"])
-        spread = chosen.repartition(settings.reading_tasks(files.sparkSession), "path")
-        found = digest_by_path(spread, algorithm).select(*kept, "digest", "error")
+        chosen, exact = with_shared_size(files.select(*kept))
+        if exact is not None:
+            chosen = keep_matching(chosen, exact, ["size"])
+        found = digest_by_path(deal_by_bytes(chosen), algorithm).select(*kept, "digest", "error")
         return stage(_one_file_per_path(found.unionByName(unsized)), "digests")
-
-    chosen = with_shared_size(files)
-    table = _checked(files if chosen is None else chosen, algorithm).select(*kept, "digest", "error")
-    if chosen is None:
-        # Every file was digested; the size rule now applies to rows without contents.
-        table = stage(table, "digested")
-        table = keep_matching(table, shared_sizes(table), ["size"])
+    chosen, exact = with_shared_size(files)
+    table = _checked(chosen, algorithm).select(*kept, "digest", "error")
+    if exact is not None:
+        # Strangers that the filter let through were digested; the size rule now applies to rows without contents.
+        table = keep_matching(stage(table, "digested"), exact, ["size"])
     return stage(_one_file_per_path(table.unionByName(unsized)), "digests")
 
 

@@ -40,6 +40,7 @@ CHUNK_BYTES = 1024 * 1024
 HOT_ROWS = 1_000_000        # a group above this many rows is split over tasks
 BROADCAST_ROWS = 1_000_000  # a key list above this many rows is shuffled, not broadcast
 PART_ROWS = 1_000_000       # rows sorted in one task, unless the session shuffles into more parts
+READ_BYTES = 1 << 30        # bytes of files read by one task, unless there are fewer tasks than cores
 BLOOM_BLOCKS = 1 << 20      # blocks of 8 bytes in a Bloom filter at most
 
 

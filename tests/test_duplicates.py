@@ -84,12 +84,40 @@ def test_only_shared_sizes_are_digested(inventory):
 
 
 def test_contents_are_digested_after_the_size_filter(inventory):
-    plan = dup.with_shared_size(inventory([("a", "12"), ("b", "34")])).select(
+    plan = dup.with_shared_size(inventory([("a", "12"), ("b", "34")]))[0].select(
         F.sha2("content", 256))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("sha2") < plan.index("LeftSemi" if "LeftSemi" in plan else "LeftAnti")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_long_size_lists_go_through_a_bloom_filter(spark, limits, monkeypatch):
+    """Only candidates and a few strangers are digested, their contents in no shuffle."""
+    alone, shared = 6000, 2000  # sizes that one file has, and that two have
+    files = spark.range(alone + 2 * shared).select(
+        F.when(F.col("id") < alone, F.col("id")).otherwise(alone + (F.col("id") - alone) % shared).alias("size"),
+        F.concat(F.lit("/r/"), "id").alias("path"), F.col("id").cast("string").alias("rel_path"))
+    files = files.select("*", F.rpad(F.lit("x"), F.col("size").cast("int"), "y").alias("content"))
+    limits(broadcast=100)
+    rows, plans = {}, {}
+    kept = dup.stage
+
+    def seen(df, label, **measures):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        out = kept(df, label, **measures)
+        rows[label] = out.staged_measures["rows"]
+        return out
+
+    monkeypatch.setattr(dup, "stage", seen)
+    table = dup.digest_table(files)
+    assert table.count() == 2 * shared
+    assert {r[0] for r in table.select("size").distinct().collect()} == set(range(alone, alone + shared))
+    strangers = rows["digested"] - 2 * shared
+    print(f"strangers digested: {strangers} of {alone}")
+    assert 0 <= strangers / alone < 0.02
+    assert "sha2" in plans["digested"] and "hashpartitioning" not in plans["digested"].split("sha2")[0]
+    assert "SortMergeJoin" not in plans["digested"]
+
+
 def test_rejects_leave_their_groups(spark):
     rows = [("a", 4, "same"), ("b", 4, "same"), ("c", 4, "longer"), ("d", 4, None)]
     files = spark.createDataFrame([(f"/r/{n}", n, s, c) for n, s, c in rows],

@@ -45,30 +45,29 @@ def digest_by_path(files: DataFrame, algorithm: str | None = None,
     """``files`` (path, size, ...) plus ``digest`` and ``error``, read on the executors.
 
     Each file streams through a fixed buffer, so its size does not matter. A
-    path is a mounted one or a URI of a file system that executors can open; an
-    unknown scheme stops the job. A file that is gone, unreadable, or of another
-    length than its recorded size (when opened, if none is recorded) gets an
-    ``error`` and a null digest.
+    path is a mounted one or a URI of a store that executors can open; its key
+    is taken as it stands, not percent-decoded. A file that is gone, unreadable,
+    in an unknown kind of store, or of another length than its recorded size
+    (when opened, if none is recorded) gets an ``error`` and a null digest.
     """
     chosen = check_algorithm(algorithm)
 
     def read(path: str, size: int | None) -> tuple[str | None, str | None]:
         import hashlib
-        import re
 
+        import pyarrow as pa
         from pyarrow import fs
 
-        if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:/", path):
-            store, place = fs.FileSystem.from_uri(path)
-        else:
-            store, place = fs.LocalFileSystem(), path
+        from stowline.sources.stores import locate
+
         try:
+            store, place = locate(path)
             info = store.get_file_info(place)
             if info.type != fs.FileType.File:
                 return None, "missing"
             expected = info.size if size is None else size
             state, seen = hashlib.new(chosen), 0
-            with store.open_input_stream(place) as handle:
+            with store.open_input_stream(place, compression=None) as handle:
                 while chunk := handle.read(chunk_bytes):
                     state.update(chunk)
                     seen += len(chunk)
@@ -78,6 +77,8 @@ def digest_by_path(files: DataFrame, algorithm: str | None = None,
             return None, "permission denied"
         except OSError as exc:
             return None, f"unreadable: {exc.strerror}"
+        except (pa.ArrowException, ValueError) as exc:
+            return None, f"unreadable: {exc}"
         return (state.hexdigest(), None) if seen == expected else (None, "size mismatch")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowline.operators.chains import settled
 from stowline.operators.moves import operations_of, resolve_moves, with_status
 from stowline.operators.ordinal import with_ordinal
 from stowline.settings import FILE_MISSING, REVERSIBLE_TYPES
@@ -27,11 +28,19 @@ def reverse_operations(log: DataFrame, batch_id: str | None) -> DataFrame:
 def execute_undo(reverse: DataFrame, files: DataFrame) -> DataFrame:
     """Moves back with ``final_path``, ``status``, ``error_message``.
 
-    A log may name one file twice; the second attempt no longer finds it.
+    Steps follow each other: after ``A -> B`` and ``B -> C``, the file at C
+    goes back to B and on to A. A log may name one file twice; the second attempt
+    no longer finds it.
     """
     moves = reverse.select("undo_seq", F.col("current_path").alias("source_path"),
                            F.col("original_path").alias("destination_path"))
-    return with_status(resolve_moves(moves, files, ORDER, sources_unique=False), FILE_MISSING)
+    return with_status(resolve_moves(moves, files, ORDER, sources_unique=False, chained=True),
+                       FILE_MISSING)
+
+
+def restored_files(outcome: DataFrame) -> DataFrame:
+    """(source_path, final_path) of each file that the undo moved, for the state after it."""
+    return settled(outcome, ORDER[0])
 
 
 def undo_operations(outcome: DataFrame) -> DataFrame:

@@ -30,14 +30,15 @@ def staging_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stowline-{app}"
 
 
-def stage(df: DataFrame, label: str, **measures: Column) -> DataFrame:
-    """Write ``df`` and read it back, taking ``measures`` (aggregates) on the way."""
+def stage(df: DataFrame, label: str, by: list[str] = (), **measures: Column) -> DataFrame:
+    """Write ``df`` and read it back, taking ``measures`` (aggregates) on the way; ``by`` names folder columns."""
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows"),
-               *[m.alias(n) for n, m in measures.items()]).write.parquet(path)
+               *[m.alias(n) for n, m in measures.items()]).write.partitionBy(*by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.staged_measures = seen.get
+    table.staged_path = path
     return table
 
 

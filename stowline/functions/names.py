@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _NUMBERED = r"(?s) \([1-9][0-9]*\)(\.[^.]+)?\z"
 _NUMBERED_AT_END = r"(?s) \([1-9][0-9]*\)\z"
-_COUNTERS = r" \([0-9]+\)"
+COUNTERS = r" \([0-9]+\)"
 
 
 def base_name(path: Column) -> Column:
@@ -82,4 +82,4 @@ def slots_of(name: Column) -> Column:
 
 def family(name: Column) -> Column:
     """The name without counters; a base and all its numbered names share it."""
-    return F.regexp_replace(name, _COUNTERS, "")
+    return F.regexp_replace(name, COUNTERS, "")

@@ -9,12 +9,13 @@ request exactly at the position that is its slot number.
 
 Two names interact only when one is a numbered form of the other and both are
 requested: whoever comes first gets the shared slot. Only those names, one row
-per distinct name, are walked in slot order; see :func:`_settle_shared`.
+per distinct name, are settled in slot order, one round for each number of
+counters; see :func:`_settle_shared`.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from stowline import settings
-from stowline.functions.names import family, numbered, slots_of
+from stowline.functions.names import COUNTERS, family, numbered, slots_of
 from stowline.operators.matching import keep_matching
 from stowline.operators.ordinal import number_within
+from stowline.operators.steps import lost_rows
 from stowline.sources.staging import measures_of, most_rows, stage
 
 NAME = ["directory", "name"]
@@ -151,36 +153,42 @@ def _settle_shared(pairs: DataFrame, ranked: DataFrame, taken: DataFrame,
     both = base_taken.unionByName(by_slot, allowMissingColumns=True)
     pairs = (number_within(both, NAME, ["_slot"], "_pos", at_most=most_rows(taken) + n_pairs).filter("child is not null")
              .withColumn("_free", F.col("_slot") - (F.col("_pos") - F.col("_nth")))
-             .drop("_pos")
-             .withColumn("_family", family(F.col("name"))))
+             .drop("_pos"))
     # A base too late even if all other children took their slots has no say.
     clear = F.col("_asked") <= F.col("_free") - F.col("_nth")
-    pairs = stage(pairs.withColumn("_clear", clear), "settling")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        filled = []
-        lost = set()  # children whose own name went to their base
-        rows = rows.assign(_len=rows["name"].str.len()).sort_values(["_len", "name", "_slot"])
-        for base, kids in rows.groupby(["_len", "name"], sort=False):
-            name = base[1]
-            directory = kids["directory"].iloc[0]
-            # Every child so far was counted as one free slot less for the base.
-            given_back = -1 if name in lost else 0
-            for slot, child, had, free, nth in zip(
-                    kids["_slot"], kids["child"], kids["_asked"], kids["_free"], kids["_nth"]):
-                if had <= free - (nth - 1) + given_back:
-                    filled.append((directory, name, slot))
-                else:
-                    given_back += 1
-                    lost.add(child)
-                    filled.append((directory, child, 0))
-        return pd.DataFrame(filled, columns=["directory", "name", "_slot"])
-
-    walked = pairs.filter("not _clear").groupBy("directory", "_family").applyInPandas(
-        walk, "directory string, name string, _slot bigint")
-    return walked.unionByName(pairs.filter("_clear").select(*_SLOT))
+    pairs = pairs.withColumns({"_clear": clear, "_level": F.regexp_count("name", F.lit(COUNTERS))})
+    pairs = stage(pairs, "settling")
+    return _contested(pairs.filter("not _clear")).unionByName(pairs.filter("_clear").select(*_SLOT))
+
+
+def _contested(pairs: DataFrame) -> DataFrame:
+    """Who gets each slot that is not clear, as (directory, name, _slot).
+
+    Every child so far was counted as one free slot less for the base; each lost
+    child gives one back, and a base that lost its own name has one less to begin
+    with. Children have one counter more than their base, so one round for
+    each number of counters settles all bases with that many at once.
+    """
+    pairs = stage(pairs.withColumn("threshold", F.col("_asked") - F.col("_free") + F.col("_nth") - 1).select(
+        *_SLOT, "child", "threshold", "_level"), "contested")
+    levels = [r[0] for r in pairs.select("_level").distinct().orderBy("_level").collect()]  # names are short
+    settled, lost = [], None
+    for level in levels:
+        rows = pairs.filter(F.col("_level") == level).drop("_level")
+        counter = F.lit(0).cast("long")
+        if lost is not None and most_rows(lost):
+            # A name is lost once; the names of this round that were lost are no more than those of the last.
+            gone = lost.withColumn("_gone", F.lit(True))
+            few = most_rows(lost) <= settings.broadcast_rows(pairs.sparkSession)
+            rows = rows.join(F.broadcast(gone) if few else gone, NAME, "left")
+            counter = F.when(F.col("_gone"), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        rows = rows.withColumn("counter", counter)
+        rows = rows.drop("_gone") if "_gone" in rows.columns else rows
+        done = lost_rows(stage(rows, "round"), NAME, "_slot")
+        lost = stage(done.filter("lost").select("directory", F.col("child").alias("name")).distinct(), "lost")
+        settled.append(done.filter("not lost").select(*_SLOT).unionByName(
+            lost.withColumn("_slot", F.lit(0).cast("bigint"))))
+    return reduce(DataFrame.unionByName, settled, pairs.limit(0).select(*_SLOT))
 
 
 def _one_by_one(requests: DataFrame, occupied: DataFrame, families: DataFrame,

@@ -5,6 +5,7 @@ from pathlib import PurePosixPath
 
 import pytest
 
+from stowline.operators import steps
 from stowline.operators.naming import unique_names
 
 
@@ -42,7 +43,7 @@ def random_cases(seed, count, pool, most_asked=14, most_there=8):
     draw = random.Random(seed)
     cases = []
     for _ in range(count):
-        names = draw.sample(pool, draw.randint(1, min(6, len(pool))))
+        names = draw.sample(pool, draw.randint(1, min(6 if most_asked < 300 else 60, len(pool))))
         weights = [draw.random() ** 3 + 0.02 for _ in names]
         cases.append((draw.choices(names, weights, k=draw.randint(1, most_asked)),
                       set(draw.sample(pool, draw.randint(0, min(most_there, len(pool)))))))
@@ -77,6 +78,18 @@ def test_random_batches(spark, limits, pool, hot):
     check(spark, random_cases(11, 300, pool))
 
 
+@pytest.mark.parametrize("pool", [NESTED, BARE], ids=["nested", "bare"])
+def test_random_batches_in_short_ranges(spark, monkeypatch, pool):
+    monkeypatch.setattr(steps, "RANGE_ROWS", 5)
+    check(spark, random_cases(13, 200, pool))
+
+
+def test_one_long_family_in_short_ranges(spark, monkeypatch):
+    monkeypatch.setattr(steps, "RANGE_ROWS", 7)
+    pool = ["a.txt"] * 30 + [f"a ({k}).txt" for k in range(1, 80)] + [f"a ({k}) (1).txt" for k in range(1, 40)]
+    check(spark, random_cases(14, 6, pool, most_asked=400, most_there=20))
+
+
 def test_long_batches(spark):
     check(spark, random_cases(12, 40, NESTED + [f"a ({k}).txt" for k in range(7, 60)],
                               most_asked=200, most_there=40))

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Trees are pruned while they are listed.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Stack traces for every column cost more than building the plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.dataFrameQueryContext.enabled": "false",

@@ -73,15 +73,19 @@ def _number_by_window(df, keys, order, out, count_as):
 def _number_by_range(df, keys, order, out, rows):
     """Sort by range into a staged table, count each part, add what comes before.
 
-    Parts are as many as the session shuffles into, or more when ``rows`` (None
-    if unknown) would overfill them.
+    Parts are as many as the session shuffles into, or more when ``rows`` would
+    overfill them; rows of an unknown number are staged and counted first, which also
+    saves the range boundaries a second computation of ``df``.
 
     ``tallies`` holds one row per part, plus one for each further group that
     starts in it; groups are hot or there is only one, so it is small.
     """
     by = [*keys, *order]
     spark = df.sparkSession
-    parts = (rows or 0) // settings.PART_ROWS
+    if rows is None:
+        df = stage(df, "unordered")
+        rows = most_rows(df)
+    parts = -(-rows // settings.PART_ROWS)
     many = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(
         df.repartitionByRange(*([parts] if many else []), *by).sortWithinPartitions(*by)

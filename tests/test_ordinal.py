@@ -4,6 +4,8 @@ from glob import glob
 
 from pyspark.sql import functions as F
 
+from stowline import settings
+from stowline.operators import ordinal
 from stowline.operators.matching import keep_matching
 from stowline.operators.ordinal import number_within, with_ordinal
 from stowline.sources.staging import staging_root
@@ -57,6 +59,22 @@ def test_a_hot_group_spreads_over_partitions(spark, limits):
     assert len(glob(os.path.dirname(newest) + "/part-*")) == 2
 
 
+def test_rows_of_unknown_number_are_sorted_in_parts_of_known_size(spark, limits, monkeypatch):
+    limits(hot=100)
+    monkeypatch.setattr(settings, "PART_ROWS", 1000)
+    seen = []
+    kept = ordinal.stage
+    monkeypatch.setattr(ordinal, "stage", lambda df, label, **m: seen.append((label, df.rdd.getNumPartitions()))
+                        or kept(df, label, **m))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = with_ordinal(spark.range(20_000).filter("id % 2 = 0"), [F.desc("id")], "n")
+        assert numbered.agg(F.min("n"), F.max("n"), F.count("*")).first() == (1, 10_000, 10_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert dict(seen)["sorted"] == 10
+
+
 def test_keep_matching_either_way(spark, limits):
     rows, keys = spark.range(100), spark.range(0, 200, 3)
     expected = sorted(range(0, 100, 3))

@@ -80,6 +80,28 @@ select destination_path as path from {operations} where status = 'SUCCESS'
 union
 select source_path from {operations} where source_path like '%/signup.txt'"""
 
+# A batch that moved files from step to step: one chain through all documents, and
+# one through each seven of them; a few steps failed.
+CHAIN_LOG = """
+select 2 * doc_id + part as id, 'chains' as batch_id, 'ORGANIZE' as operation_type,
+  case part when 0 then concat('/lake/a/', cast(doc_id as $S), '.txt')
+    else concat('/lake/b', cast(cast(floor(doc_id / 7) as $L) as $S), '/', cast(doc_id % 7 as $S)) end as source_path,
+  case part when 0 then concat('/lake/a/', cast(doc_id + 1 as $S), '.txt')
+    else concat('/lake/b', cast(cast(floor(doc_id / 7) as $L) as $S), '/', cast(doc_id % 7 + 1 as $S)) end as destination_path,
+  case when part = 1 and doc_id % 29 = 0 then 'FAILED' else 'SUCCESS' end as status
+from {documents}, (select 0 as part union all select 1) parts"""
+
+# When it is undone, some steps' places are taken again and some chains' files are gone.
+CHAIN_STATE = """
+select max(destination_path) as path from {log} l
+where id = (select max(id) from {log} where substr(source_path, 1, 7) = '/lake/a')
+union
+select destination_path from {log} where destination_path like '/lake/b%/7' and id % 5 <> 0
+union
+select source_path from {log} where id % 23 = 1
+union
+select concat(source_path, ' (1)') from {log} where id % 69 = 1"""
+
 DECISIONS = """
 select digest, case when substr(digest, 1, 1) in ('0','1','2','3','4','5') then '1'
   when substr(digest, 1, 1) in ('8','9','a','b') then ' 2 '
@@ -135,6 +157,12 @@ class Lake:
     def undo_state(self) -> DataFrame:
         return self._sql(UNDO_STATE, operations=self.operations())
 
+    def chain_log(self) -> DataFrame:
+        return self._sql(CHAIN_LOG, documents=self.table("documents").select("doc_id").distinct())
+
+    def chain_state(self) -> DataFrame:
+        return self._sql(CHAIN_STATE, log=self.chain_log())
+
     def decisions(self, groups: DataFrame) -> DataFrame:
         return self._sql(DECISIONS, groups=groups)
 

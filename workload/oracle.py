@@ -262,7 +262,36 @@ game as (
     from game g join asks a on a.family = g.family and a.turn = g.turn + 1) step)
 select doc_id, 'notes' as directory, name, final_name from game where turn > 0"""
 
+# The steps are played in turn; ``used`` holds the paths there are.
+_CHAINS = f"""
+with recursive log as ({fx.duck(fx.CHAIN_LOG, documents='(select distinct doc_id from documents) d')}),
+state as ({fx.duck(fx.CHAIN_STATE, log='log')}),
+steps as (select row_number() over (order by id desc) as seq, destination_path as cur, source_path as orig
+  from log where status = 'SUCCESS' and source_path <> destination_path),
+game as (
+  select cast(0 as bigint) as seq, cast(null as varchar) as cur, cast(null as varchar) as orig,
+    cast(null as varchar) as final, (select list(path) from state) as used
+  union all
+  select seq, cur, orig, final, case when final is null then used
+    else list_append(list_filter(used, lambda p: p <> cur), final) end
+  from (select s.seq, s.cur, s.orig, g.used, case when not list_contains(g.used, s.cur) then null
+      when not list_contains(g.used, s.orig) then s.orig
+      else list_filter(list_transform(range(1, 50), lambda k: {_slot_name('s.orig', 'k')}),
+        lambda c: not list_contains(g.used, c))[1] end as final
+    from game g join steps s on s.seq = g.seq + 1) step)
+"""
+
 ORACLE = {
+    "undo_chains": _CHAINS + """select seq as undo_seq, 'UNDO' as operation_type, cur as source_path,
+        coalesce(final, orig) as destination_path, case when final is null then 'FAILED' else 'SUCCESS' end as status,
+        case when final is null then 'File missing' end as error_message from game where seq > 0""",
+    "undo_chains_inventory": _CHAINS + f"""select path, {_NAME.format('path')} as name
+        from (select unnest(used) as path from (select used from game order by seq desc limit 1) g) x""",
+    "review_append": _sql(f"{_REVIEW} ops", """
+        select * from ops union all
+        select (select max(id) from ops) + row_number() over (order by ord), 'feedc0de00000001', 'DUPLICATE_REVIEW',
+          source_path, concat(directory, '/', final_name), timestamp '2024-02-01 12:00:00', 'SUCCESS', null
+        from reviewed"""),
     "inventory_load": """select concat('/docs/', source, '/', doc_id) as path,
         concat(source, '/', doc_id) as rel_path, n_chars as size from documents""",
     "file_metadata": _sql("inventory", f"""select path, {_metadata('path')}, size,
@@ -348,6 +377,11 @@ ORACLE = {
         select (select max(id) from ops) + row_number() over (order by {_PARTS.format('rel_path')}),
           'feedc0de00000001', 'ORGANIZE', source_path, coalesce(final_path, destination_path),
           timestamp '2024-02-01 12:00:00', status, error_message from outcome"""),
+    "ops_newest_batch": _sql(f"{_MOVE} ops", f"""
+        select (select max(id) from ops) + row_number() over (order by {_PARTS.format('rel_path')}) as id,
+          'feedc0de00000001' as batch_id, 'ORGANIZE' as operation_type, source_path,
+          coalesce(final_path, destination_path) as destination_path,
+          timestamp '2024-02-01 12:00:00' as timestamp, status, error_message from outcome"""),
     "ops_normalise": _sql("ops", """select id,
         case when status = 'SUCCESS' then batch_id else 'feedc0de00000001' end as batch_id,
         operation_type, status, error_message from ops"""),

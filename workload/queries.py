@@ -213,14 +213,24 @@ def apply_plan_twice(spark, d):
     return organize.plan_moves(in_scope(after), ROOT).drop("scan_key")
 
 
-def ops_append(spark, d):
+def _appended(spark, d) -> str:
     lake = Lake(spark, d)
     log = f"{staging_root(spark)}/log-{uuid4().hex}"
     lake.operations().write.parquet(log)
     done = organize.organize_operations(_outcome(lake))
     oplog.append(spark, log, done, ["scan_key", "source_path"], BATCH,
                  F.lit("2024-02-01 12:00:00").cast("timestamp_ntz"))
-    return oplog.read_log(spark, log)
+    return log
+
+
+def ops_append(spark, d):
+    return oplog.read_log(spark, _appended(spark, d))
+
+
+def ops_newest_batch(spark, d):
+    # Only the files of the newest successful append are read.
+    newest = oplog.newest_success(spark, _appended(spark, d))
+    return oplog.batch_operations(newest, oplog.latest_batch_id(newest))
 
 
 # Log
@@ -275,6 +285,16 @@ def review_plan(spark, d):
         "digest", "member_no", "source_path", "destination_path", "final_path")
 
 
+def review_append(spark, d):
+    lake = Lake(spark, d)
+    log = f"{staging_root(spark)}/log-{uuid4().hex}"
+    lake.operations().write.parquet(log)
+    _, plan = _review(lake)
+    done = quarantine.review_operations(quarantine.execute_review(plan, lake.lake_now()))
+    oplog.append(spark, log, done, quarantine.ORDER, BATCH, F.lit("2024-02-01 12:00:00").cast("timestamp_ntz"))
+    return oplog.read_log(spark, log)
+
+
 def review_inventory(spark, d):
     lake = Lake(spark, d)
     _, plan = _review(lake)
@@ -317,7 +337,21 @@ def undo_apply(spark, d):
 
 def undo_inventory(spark, d):
     lake = Lake(spark, d)
-    return apply_moves(lake.undo_state(), _undone(lake))
+    return apply_moves(lake.undo_state(), undo.restored_files(_undone(lake)))
+
+
+def _chained(lake: Lake):
+    log, state = lake.chain_log(), stage(lake.chain_state(), "state")
+    return state, undo.execute_undo(undo.reverse_operations(log, oplog.latest_batch_id(log)), state)
+
+
+def undo_chains(spark, d):
+    return undo.undo_operations(_chained(Lake(spark, d))[1])
+
+
+def undo_chains_inventory(spark, d):
+    state, outcome = _chained(Lake(spark, d))
+    return apply_moves(state, undo.restored_files(outcome)).select("path", "name")
 
 
 def undo_append(spark, d):
@@ -348,9 +382,9 @@ QUERIES = {f.__name__: f for f in [
     classify_pages, size_buckets, dup_candidates, dup_groups, dup_recoverable, dup_members,
     dup_rejects, dup_group_numbers, dup_report, plan_moves, plan_already_organized,
     plan_include_subfolders, plan_protected, plan_preview, scan_listing, resolve_names,
-    resolve_names_cascade, apply_plan_status, apply_plan_inventory, apply_plan_twice, ops_append, ops_normalise,
+    resolve_names_cascade, apply_plan_status, apply_plan_inventory, apply_plan_twice, ops_append, ops_newest_batch, ops_normalise,
     history_recent, history_lines, history_report, latest_batch, latest_batch_ops, review_decisions, review_plan,
-    review_inventory, review_summary, review_dry_run, undo_plan, undo_preview, undo_apply, undo_inventory, undo_append,
+    review_append, review_inventory, review_summary, review_dry_run, undo_plan, undo_preview, undo_apply, undo_inventory, undo_chains, undo_chains_inventory, undo_append,
     undo_summary, summary_counts]}
 QUERIES["human_size"] = human_size_query
 for _algorithm in ("sha256", "sha1", "md5"):

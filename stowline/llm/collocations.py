@@ -7,22 +7,24 @@ shuffle. Each merged stripe gives the counts of all extensions of its prefix,
 the prefix's own total, and the largest extension, which decides subsumption.
 
 A phrase is frequent only if its words and its pairs are, so the corpus is read
-three times: words are counted first; then the stripes of single words, between
-words that may be frequent; then stripes of longer prefixes, within runs of pairs
-that may be. "May be" is a Bloom filter of bounded size: it lets strangers
-through, whose exact counts drop them afterwards, and never loses a phrase.
-
-Hot prefixes are split: a prefix with more than one ``1 / HOT``-th of all words gets
-slots by the hash of the next word. There can be at most ``HOT`` such prefixes, so
-their list can be sent to all tasks.
+three times. Words are counted first: that is the stripe of the empty prefix. Then
+hashes of pairs of words that may be frequent are counted, over whole batches of
+bytes at once. Stripes hold what may be frequent by then. "May be" is a Bloom filter
+of bounded size: it lets strangers through, as equal hashes do, and the exact
+counts of the stripes drop them; it never loses a phrase.
+
+Hot prefixes are split: a prefix whose first word is more than one ``1 / HOT``-th of all
+words gets slots by the hash of the next word. There can be at most ``HOT`` such
+words, so their list can be sent to all tasks.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +32,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowline.llm.common import Memory, checked_broadcast, slices, text_batches
+from stowline.llm.common import checked_broadcast, slices, text_batches
 from stowline.operators.bloom import blocks_for, bloom_blocks
 from stowline.sources.staging import measures_of, most_rows, stage
 
 MOST_WORDS = 5
 #: Counter entries a task holds before it sends them on, and words between two looks at their number.
 HELD, LOOK = 500_000, 50_000
+#: Hashes of pairs a task holds before it sends their counts on.
+PAIRS = 4_000_000
 #: A prefix above this share of all words is split, into so many slots a share.
-HOT, SLOTS = 20_000, 4
-#: Words whose filter answer a worker remembers.
-REMEMBERED = 200_000
+HOT, SLOTS = 1000, 4
 #: Candidates of one language ranked in one task of the first round.
 RANKED = 200_000
 
 # The separators of pieces become line feeds, the other blanks spaces, A-Z lower case; bytes of UTF-8.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 # Words that follow a prefix, joined by spaces, and their counts as 64-bit numbers.
 _STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("slot", pa.int32()),
                      ("other", pa.int64()), ("next", pa.binary()), ("counts", pa.binary())])
@@ -74,16 +77,16 @@ def collocations(docs: DataFrame, at_least: int = 100, first: int = 2000, covere
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     with text_batches(docs.sparkSession):
         words = stage(_count_words(docs), "words", words=F.sum("n"))
-        total = measures_of(words)["words"] or 0
         often = stage(words.filter(F.col("n") >= at_least).select("lang", F.col("word").alias("phrase"), "n"), "often")
-        singles = _merged(_stripes(docs, _single_words, _filter(often), _slots(often, total)), at_least, "singles")
-        pairs = stage(_extensions(singles), "pairs")
-        longer = _merged(_stripes(docs, _longer_prefixes, _filter(pairs), _slots(pairs, total)), at_least, "longer")
+        frequent = _filter(stage(often.select("lang", "phrase").mapInArrow(_hashed, "h long"), "hashes"))
+        pairs = stage(_count_pairs(docs, frequent).filter(F.col("n") >= at_least).select("h"), "pairs")
+        slots = _slots(often, measures_of(words)["words"] or 0)
+        stripes = _merged(_stripes(docs, frequent, _filter(pairs), slots), at_least)
 
-    phrases = stage(pairs.union(_extensions(longer)), "phrases")
+    phrases = stage(_extensions(stripes), "phrases")
     lengths = words.groupBy("lang").agg(F.sum("n").alias("n"))  # one row per language
-    scored = _scored(phrases, singles.union(longer), often, lengths)
-    kept = scored.join(_subsumed(phrases, longer, covered), ["lang", "phrase"], "left_anti")
+    scored = _scored(phrases, stripes, often, lengths)
+    kept = scored.join(_subsumed(phrases, stripes, covered), ["lang", "phrase"], "left_anti")
     return _ranked(kept, most_rows(phrases), first)
 
 
@@ -121,124 +124,200 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
 
 
-Asker = Callable[[], Callable[[bytes], bool]]
+# Hashing. Only filters depend on hashes, so equal ones cost time, never results.
+
+#: Bytes of a word that its hash sees beside its length, and bytes hashed at a time.
+HASHED, STRETCH = 4096, 1 << 20
+_BASE, _MIX, _NEXT = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_CLASS = np.frombuffer(bytes(1 if c in b" \t" else 2 if c in b".,;:!?\n\x0b\x0c\r" else 0 for c in range(256)), np.uint8)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    size = STRETCH + HASHED
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
+                 for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(_NEXT)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word of the bytes, the same wherever the word lies; starts ascend."""
+    powers, inverse = _powers()
+    out = (ends - starts).astype(np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, (int(starts[-1]) if len(starts) else 0) + STRETCH + 1, STRETCH))
+    for a, b in pairwise(cuts):
+        if a == b:
+            continue
+        base = starts[a]
+        stops = np.minimum(ends[a:b], starts[a:b] + HASHED) - base
+        terms = (folded[base:base + stops[-1]].astype(np.uint64) + np.uint64(1)) * powers[:stops[-1]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        own = starts[a:b] - base
+        out[a:b] += (sums[stops] - sums[own]) * inverse[own]
+    return _mixed(out)
+
+
+def _lang_hash(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of (lang, word)."""
+    for batch in slices(batches, 10_000):
+        raw, offsets = _bytes_of(batch.column(1).cast(pa.binary()))
+        langs = np.array(list(map(_lang_hash, batch.column(0).to_pylist())), np.uint64)
+        h = _mixed(word_hashes(raw, offsets[:-1], offsets[1:]) + langs)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column without nulls, and where its values begin and end."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    values = texts.buffers()[2]
+    raw = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+class _Words:
+    """All words of a batch of texts: their places, hashes, and which neighbours are in one piece."""
+
+    def __init__(self, batch: pa.RecordBatch, frequent: "Maybe"):
+        raw, offsets = _bytes_of(batch.column("text"))
+        kind = _CLASS[raw]
+        self.folded = _LOWER[raw]
+        inside = kind == 0
+        begins, finishes = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        finishes[:-1] &= ~inside[1:]
+        edges = offsets[(offsets > 0) & (offsets < len(raw))]  # texts end words
+        begins[edges] = inside[edges]
+        finishes[edges - 1] = inside[edges - 1]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
+        # Both numbers never fall, so their sum is equal only if both are.
+        piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts) + self.text
+        self.langs = batch.column("lang").to_pylist()
+        lang = np.array([_lang_hash(x) for x in self.langs], np.uint64)[self.text]
+        h = word_hashes(self.folded, self.starts, self.ends)
+        may_be = frequent(_mixed(h + lang))
+        #: Whether each word and the next one are in one piece and both may be frequent, and their hash.
+        self.paired = (piece[1:] == piece[:-1]) & may_be[1:] & may_be[:-1]
+        self.pairs = _mixed(h[:-1] * np.uint64(_BASE) + h[1:] * np.uint64(_NEXT) + lang[:-1])
+
+
+class Maybe:
+    """A Bloom filter of hashes asked from numpy; the bits come from Spark's broadcast."""
+
+    def __init__(self, sent, blocks: int):
+        self.sent, self.blocks = sent, blocks
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(self.sent.value, np.uint64)[((h >> np.uint64(32)) & np.uint64(self.blocks - 1)).astype(np.int64)]
+        found = bits >> (h & np.uint64(63))
+        for k in (6, 12, 18):
+            found &= bits >> ((h >> np.uint64(k)) & np.uint64(63))
+        return (found & np.uint64(1)).astype(bool)
+
+
+def _filter(hashes: DataFrame) -> Maybe:
+    """The filter of a staged table (h); at most ``spark.stowline.bloomBlocks`` numbers are sent."""
+    spark = hashes.sparkSession
+    blocks = blocks_for(spark, most_rows(hashes))
+    table = bloom_blocks(hashes, F.col("h"), blocks).toArrow()
+    bits = np.zeros(blocks, np.int64)
+    bits[table.column("block").to_numpy()] = table.column("bits").to_numpy()
+    return Maybe(spark.sparkContext.broadcast(bits.tobytes()), blocks)
 
 
-def _filter(often: DataFrame) -> Asker:
-    """Asks in Python whether a phrase may be among (lang, phrase); the key is language, space, phrase.
+def _count_pairs(docs: DataFrame, frequent: Maybe) -> DataFrame:
+    """(h, n): how often each hash of a pair occurs, between words that may be frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    At most ``spark.stowline.bloomBlocks`` numbers are sent.
-    """
-    spark = often.sparkSession
-    blocks = blocks_for(spark, most_rows(often))
-    table = bloom_blocks(often, F.xxhash64(F.concat("lang", F.lit(" "), "phrase")), blocks).toArrow()
-    bits = np.zeros(blocks, np.int64)
-    bits[table.column("block").to_numpy()] = table.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bits.tobytes())
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    def asker() -> Callable[[bytes], bool]:
-        held = array("Q", sent.value)
+        for batch in batches:
+            words = _Words(batch, frequent)
+            held.append(words.pairs[words.paired])
+            size += len(held[-1])
+            if size >= PAIRS:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
 
-        def ask(key: bytes) -> bool:
-            h = xxhash.xxh64_intdigest(key, 42)
-            b = held[(h >> 32) & (blocks - 1)]
-            return b and (b >> (h & 63)) & (b >> (h >> 6 & 63)) & (b >> (h >> 12 & 63)) & (b >> (h >> 18 & 63)) & 1
-        return ask
-    return asker
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _slots(often: DataFrame, total: int) -> dict[tuple[str, bytes], int]:
-    """Slots of the hot prefixes by (lang, prefix); there are at most ``HOT``."""
+    """Slots of the prefixes that begin with a hot word, by (lang, word); there are at most ``HOT``."""
     share = total // HOT + 1
     return {(lang, phrase.encode()): min(SLOTS * -(-n // share), 1 << 15)
             for lang, phrase, n in often.filter(F.col("n") > share).collect()}
 
 
-def _single_words(asker: Asker) -> Callable[[str, list[bytes], Stripes], Iterator[int]]:
-    """Counts each word's next word; whatever else follows a word counts as the empty word."""
-    ask = asker()
-    known: dict[str, Memory] = {}
-
-    def count(lang: str, piece: list[bytes], stripes: Stripes) -> Iterator[int]:
-        if lang not in known:
-            head = lang.encode() + b" "
-            known[lang] = Memory(lambda word: word if ask(head + word) else b"", REMEMBERED)
-        often = known[lang]
-        before = b""
-        for start in range(0, len(piece) + 1, LOOK):
-            for word in piece[start:start + LOOK]:
-                after = often[word]
-                if before:
-                    stripe = stripes.get(before)
-                    if stripe is None:
-                        stripe = stripes[before] = {}
-                    stripe[after] = stripe.get(after, 0) + 1
-                before = after
-            yield min(LOOK, len(piece) - start)
-        if before:
-            stripe = stripes.setdefault(before, {})
-            stripe[b""] = stripe.get(b"", 0) + 1
-    return count
-
-
-def _longer_prefixes(asker: Asker) -> Callable[[str, list[bytes], Stripes], Iterator[int]]:
-    """Counts the words after each prefix of two to four words, in runs of pairs that may be frequent."""
-    ask = asker()
-
-    def count(lang: str, piece: list[bytes], stripes: Stripes) -> Iterator[int]:
-        head = lang.encode() + b" "
-        run, pairs = 0, len(piece) - 1  # pairs in the run that ends here
-        good = pairs > 0 and ask(head + piece[0] + b" " + piece[1])
-        for start in range(0, pairs, LOOK):
-            for at in range(start, min(start + LOOK, pairs)):
-                end = at + 2
-                follows = end <= pairs and ask(head + piece[at + 1] + b" " + piece[end])
-                if good:
-                    run += 1
-                    after = piece[end] if follows else b""
-                    for size in range(2, min(run + 1, MOST_WORDS - 1) + 1):
-                        prefix = b" ".join(piece[end - size:end])
-                        stripe = stripes.get(prefix)
-                        if stripe is None:
-                            stripe = stripes[prefix] = {}
-                        stripe[after] = stripe.get(after, 0) + 1
-                else:
-                    run = 0
-                good = follows
-            yield min(LOOK, pairs - start)
-    return count
-
-
-def _stripes(docs: DataFrame, counting: Callable, asker: Asker, slots: dict[tuple[str, bytes], int]) -> DataFrame:
-    """Partial stripes (lang, prefix, slot, other, next, counts)."""
+def _stripes(docs: DataFrame, frequent: Maybe, frequent_pairs: Maybe, slots: dict[tuple[str, bytes], int]) -> DataFrame:
+    """Partial stripes (lang, prefix, slot, other, next, counts) along pairs that may be frequent.
+
+    What else follows a prefix of two words or more counts as the empty word; the
+    totals of single words are known.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, hot = counting(asker), sent.value
+        hot = sent.value
         held: dict[str, Stripes] = {}
         seen = 0
-        for lang, raw in _texts(batches):
-            for line in raw.translate(_FOLD).split(b"\n"):
-                piece = line.split()
-                if not piece:
-                    continue
-                for words in count(lang, piece, held.setdefault(lang, {})):
-                    seen += words
+        for batch in batches:
+            words = _Words(batch, frequent)
+            good = words.paired.copy()
+            good[good] = frequent_pairs(words.pairs[good])
+            edge = np.diff(np.concatenate([[False], good, [False]]).astype(np.int8))
+            text = words.folded.tobytes()
+            # Runs of pairs: from the first word to the last.
+            for first, last in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                stripes = held.setdefault(words.langs[words.text[first]], {})
+                for start in range(first, last + 1, LOOK):
+                    begin, end = max(first, start - MOST_WORDS + 2), min(last, start + LOOK)
+                    run_ = [text[a:b] for a, b in zip(words.starts[begin:end + 1].tolist(), words.ends[begin:end + 1].tolist())]
+                    _count_run(run_, start - begin, min(start + LOOK, last + 1) - begin, stripes)
+                    seen += end - start + 1
                     if seen >= LOOK:
                         seen = 0
-                        if sum(sum(map(len, stripes.values())) for stripes in held.values()) >= HELD:
+                        if sum(sum(map(len, s.values())) for s in held.values()) >= HELD:
                             yield from _sent(held, hot)
         yield from _sent(held, hot)
 
     return docs.mapInArrow(run, _STRIPE_SQL)
 
 
+def _count_run(words: list[bytes], start: int, stop: int, stripes: Stripes) -> None:
+    """Count what follows each prefix that ends at a word from ``start`` on and before ``stop``."""
+    last = len(words) - 1
+    for at in range(start, stop):
+        after = words[at + 1] if at < last else b""
+        for size in range(1 if after else 2, min(at + 1, MOST_WORDS - 1) + 1):
+            prefix = words[at] if size == 1 else b" ".join(words[at - size + 1:at + 1])
+            stripe = stripes.get(prefix)
+            if stripe is None:
+                stripe = stripes[prefix] = {}
+            stripe[after] = stripe.get(after, 0) + 1
+
+
 def _sent(held: dict[str, Stripes], hot: dict[tuple[str, bytes], int]) -> Iterator[pa.RecordBatch]:
     """The held stripes as rows, hot ones in slots from 1; ``held`` keeps its empty dicts."""
     rows = []
     for lang, stripes in held.items():
         for prefix, counts in stripes.items():
-            slots = hot.get((lang, prefix)) or hot.get((lang, b" ".join(prefix.split(b" ", 2)[:2])))
+            slots = hot.get((lang, prefix.split(b" ", 1)[0]))
             other = counts.pop(b"", 0)
             parts: dict[int, tuple[list, list]] = {}
             if slots is None:
@@ -265,11 +344,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
                                       schema=_STRIPE)
 
 
-def _merged(stripes: DataFrame, at_least: int, label: str) -> DataFrame:
+def _merged(stripes: DataFrame, at_least: int) -> DataFrame:
     """(lang, prefix, total, next, counts, most): stripes merged elementwise; staged.
 
-    ``total`` counts every occurrence of the prefix; entries below ``at_least``
-    go no further than that. A hot prefix has a row for each of its slots.
+    ``total`` counts every occurrence of a prefix of two words or more; entries below
+    ``at_least`` go no further than that. A hot prefix has a row for each of its slots.
     """
     names = ["lang", "prefix", "total", "next", "counts", "most"]
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
@@ -288,7 +367,7 @@ def _merged(stripes: DataFrame, at_least: int, label: str) -> DataFrame:
 
     keys = ["lang", "prefix", "slot"]
     return stage(stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        run, "lang string, prefix binary, total long, next array<binary>, counts array<long>, most long"), label)
+        run, "lang string, prefix binary, total long, next array<binary>, counts array<long>, most long"), "stripes")
 
 
 def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, dict[bytes, int]]]:
@@ -319,16 +398,16 @@ def _extensions(stripes: DataFrame) -> DataFrame:
         "phrase"), F.col("e.counts").alias("n"))
 
 
-def _subsumed(phrases: DataFrame, longer: DataFrame, covered: int) -> DataFrame:
+def _subsumed(phrases: DataFrame, stripes: DataFrame, covered: int) -> DataFrame:
     """(lang, phrase) contained in a longer candidate with enough of its occurrences.
 
     Counts can only fall as a phrase grows, so the longer ones by one word decide:
     the largest extension to the right is the maximum of the prefix's stripe, the
     largest to the left that of its entries in the stripes one word longer.
     """
-    right = longer.select("lang", F.col("prefix").cast("string").alias("phrase"), "most")
+    right = stripes.select("lang", F.col("prefix").cast("string").alias("phrase"), "most").filter("most > 0")
     rest = F.expr("substr(phrase, instr(phrase, ' ') + 1)")
-    left = _extensions(longer).select("lang", rest.alias("phrase"), F.col("n").alias("most"))
+    left = _extensions(stripes).select("lang", rest.alias("phrase"), F.col("n").alias("most"))
     most = right.union(left).groupBy("lang", "phrase").agg(F.max("most").alias("most"))
     enough = F.col("most").cast("decimal(19,0)") * 100 >= F.col("n").cast("decimal(19,0)") * covered
     return phrases.join(most, ["lang", "phrase"]).filter((F.col("most") > 0) & enough).select("lang", "phrase")
@@ -336,8 +415,8 @@ def _subsumed(phrases: DataFrame, longer: DataFrame, covered: int) -> DataFrame:
 
 def _scored(phrases: DataFrame, stripes: DataFrame, often: DataFrame, lengths: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of every candidate, by its lowest-scoring cut."""
-    totals = stage(stripes.groupBy("lang", F.col("prefix").cast("string").alias("head")).agg(
-        F.sum("total").alias("l")), "totals")
+    totals = stripes.groupBy("lang", F.col("prefix").cast("string").alias("head")).agg(F.sum("total").alias("l"))
+    totals = stage(totals.filter(F.col("head").contains(" ")).union(often), "totals")
     counts = stage(phrases.union(often).toDF("lang", "rest", "r"), "counts")
     words = F.split("phrase", " ")
     cuts = phrases.select("lang", "phrase", F.col("n").alias("a"), F.explode(

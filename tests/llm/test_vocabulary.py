@@ -74,6 +74,7 @@ def test_collocations(spark, docs, monkeypatch, setting):
     if setting == "held":
         monkeypatch.setattr(collocations, "HELD", 10)
         monkeypatch.setattr(collocations, "LOOK", 3)
+        monkeypatch.setattr(collocations, "PAIRS", 20)
     if setting == "hot":
         monkeypatch.setattr(collocations, "HOT", 30)
         monkeypatch.setattr(collocations, "RANKED", 7)
@@ -101,15 +102,33 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_totals_count_every_occurrence(docs, monkeypatch):
-    """Prefix totals of the stripes equal the counts of the words."""
+    """Prefix totals of the stripes equal the counts of the phrases, and so do the extensions of shorter ones."""
     seen = {}
     kept = collocations._scored
     monkeypatch.setattr(collocations, "_scored", lambda phrases, stripes, often, lengths: seen.update(
-        stripes=stripes, often=often) or kept(phrases, stripes, often, lengths))
+        stripes=stripes, phrases=phrases) or kept(phrases, stripes, often, lengths))
     collocations.collocations(docs(corpus(2)), 5)
-    totals = {(r[0], r[1].decode()): r[2] for r in seen["stripes"].groupBy("lang", "prefix").agg(
-        F.sum("total")).collect() if b" " not in r[1]}
-    assert {(r[0], r[1]): r[2] for r in seen["often"].collect()}.items() <= totals.items()
+    totals = {(r[0], r[1].decode()): r[2] for r in seen["stripes"].groupBy("lang", "prefix").agg(F.sum("total")).collect()}
+    counts = {(r[0], r[1]): r[2] for r in seen["phrases"].collect() if 2 <= len(r[1].split(" ")) <= 4}
+    assert len(counts) > 20 and counts.items() <= totals.items()
+
+
+def test_hashes_do_not_depend_on_the_place(monkeypatch):
+    monkeypatch.setattr(collocations, "STRETCH", 64)
+    monkeypatch.setattr(collocations, "HASHED", 16)
+    collocations._powers.cache_clear()
+    draw = random.Random(6)
+    words = [bytes(draw.choice(b"abcxyz\xc3\xa9") for _ in range(draw.choice([1, 2, 5, 9, 40, 200]))) for _ in range(60)]
+    line = words + draw.sample(words, 60)
+    ends = np.cumsum([len(w) + 1 for w in line])
+    raw = np.frombuffer(b" ".join(line) + b" ", np.uint8)
+    found = collocations.word_hashes(raw, ends - [len(w) + 1 for w in line], ends - 1)
+    by_word = {}
+    for w, h in zip(line, found.tolist(), strict=True):
+        assert by_word.setdefault(w, h) == h
+    short = {w for w in words if len(w) <= 16}
+    assert len({by_word[w] for w in short}) == len(short)
+    collocations._powers.cache_clear()
 
 
 # spelling

@@ -18,6 +18,17 @@ def sample_ids(rows: DataFrame, most: int, salt: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
 
 
+def sample_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(text as ``t``, the other columns of ``wanted``): one text for each row of ``wanted`` (doc_id, ...).
+
+    Of the texts of a repeated id the first in order stands for it, so that the
+    sample is bounded by the ids, however often one repeats.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    one = texts.join(F.broadcast(wanted), "doc_id").groupBy(*wanted.columns).agg(F.min("t").alias("t"))
+    return one.drop("doc_id")
+
+
 class Sparse:
     """Rows of (feature, value) lists as flat arrays, with products by row and by feature."""
 

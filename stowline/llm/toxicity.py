@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.llm.common import Memory, bound_batches, slices, strings
-from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
+from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sample_texts, sigmoid
 from stowline.sources.staging import stage
 
 #: Bounds of the training sample and of the features that can have a weight.
@@ -94,8 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["p", "f"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    rows = stage(texts.join(F.broadcast(wanted), "doc_id").select("p", "t").mapInArrow(
+    rows = stage(sample_texts(docs, wanted, doc_id, text).select("p", "t").mapInArrow(
         run, "p boolean, f array<int>"), "features", positives=F.count_if("p"))
     positives = rows.staged_measures["positives"] or 0
     if not positives:
@@ -108,7 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                                      >= MIN_TOXIC / others * (F.col("u") + F.sqrt("u")))).orderBy(F.desc("n"), "w").limit(FEATURES)
     vocabulary = np.sort(np.array([r["w"] for r in counts.select("w").collect()], np.int64))
     slim = rows.mapInArrow(lambda batches: _numbered(batches, vocabulary), "p boolean, f array<int>")
-    table = slim.sort("p", "f").toArrow()
+    table = slim.toArrow().combine_chunks()
+    # The same rows in the same order, whichever task sent them.
+    table = table.take(pa.array(sorted(range(table.num_rows), key=list(zip(
+        table.column("p").to_pylist(), table.column("f").to_pylist(), strict=True)).__getitem__), pa.int64()))
     is_p = table.column("p").to_numpy()
     lists = [np.array(f, np.int64) for f in table.column("f").to_pylist()]
     weights = _fit(Sparse([x for x, p in zip(lists, is_p, strict=True) if p], None, len(vocabulary)),
@@ -138,18 +140,26 @@ def _fit(positive: Sparse, unlabelled: Sparse, prior: float) -> np.ndarray:
     # Chance differences between the samples shrink with their size.
     adam = Adam(len(weights), RATE, SHRINK * prior / positive.n ** 0.5)
     for _ in range(STEPS):
-        zp, zu = (s.dot(weights[:-1]) + weights[-1] for s in (positive, unlabelled))
-        clean_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() if unlabelled.n else 0.0
-        toxic_pull = -prior * sigmoid(-zp) / positive.n
-        own, other = -prior * sigmoid(zp) / positive.n, sigmoid(zu) / max(unlabelled.n, 1)
-        if clean_risk < 0:
-            toxic_pull, own, other = np.zeros_like(own), -own, -other
-        errors = toxic_pull + own
-        gradient = np.append(positive.back(errors) + unlabelled.back(other), errors.sum() + other.sum())
-        weights = adam.step(weights, gradient)
+        weights = adam.step(weights, risk(weights, positive, unlabelled, prior)[2])
     return weights
 
 
+def risk(weights: np.ndarray, positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk of missing toxic texts, the estimated one of blaming clean texts, and the gradient to follow.
+
+    Where the second is negative the gradient only leads it back above zero.
+    """
+    zp, zu = (s.dot(weights[:-1]) + weights[-1] for s in (positive, unlabelled))
+    clean_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() if unlabelled.n else 0.0
+    toxic_pull = -prior * sigmoid(-zp) / positive.n
+    own, other = -prior * sigmoid(zp) / positive.n, sigmoid(zu) / max(unlabelled.n, 1)
+    if clean_risk < 0:
+        toxic_pull, own, other = np.zeros_like(own), -own, -other
+    errors = toxic_pull + own
+    gradient = np.append(positive.back(errors) + unlabelled.back(other), errors.sum() + other.sum())
+    return float(prior * np.logaddexp(0, -zp).mean()), float(clean_risk), gradient
+
+
 def score_column(spark, model: Model, text: Column) -> Column:
     """Score of each whole text, 0 to 1; null and empty texts have the bias alone."""
     bound_batches(spark)

@@ -5,7 +5,8 @@ expected labels, summed by host and by path within the host, give each site a
 posterior share of good documents: hosts shrink towards the whole corpus and
 paths towards their host, the more the fewer documents they have. How strongly
 is learnt from how much sites differ beyond chance. A document's posterior is
-its evidence on top of its path's share.
+its evidence on top of the share of its path's and host's other documents, so
+that its own evidence counts once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowline.llm.common import Memory, bound_batches, checked_broadcast, slices, strings
-from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sigmoid
+from stowline.llm.labelled import Adam, Sparse, held_out, sample_ids, sample_texts, sigmoid
 from stowline.sources.staging import measures_of, stage
 
 #: Bound of the training sample: labelled documents of each class.
@@ -83,9 +84,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 [batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int64())),
                  pa.array([v for _, v in found], pa.list_(pa.float64()))], ["y", "f", "v"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    table = texts.join(F.broadcast(wanted), "doc_id").select("y", "t").mapInArrow(
-        run, "y int, f array<long>, v array<double>").sort("y", "f", "v").toArrow()
+    table = sample_texts(docs, wanted, doc_id, text).select("y", "t").mapInArrow(
+        run, "y int, f array<long>, v array<double>").toArrow().combine_chunks()
+    # The same rows in the same order, whichever task sent them.
+    table = table.take(pa.array(sorted(range(table.num_rows), key=list(zip(
+        *(table.column(c).to_pylist() for c in "yfv"), strict=True)).__getitem__), pa.int64()))
     y = table.column("y").to_numpy().astype(float) if table.num_rows else np.zeros(0)
     if not 0 < y.sum() < len(y):
         return np.append(np.zeros(WIDTH), np.log(share / (1 - share))), share
@@ -116,20 +119,43 @@ def evidence_column(spark, weights: np.ndarray, text: Column) -> Column:
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, n, host_share, path_share) from (host, path, log_odds) of all documents; staged."""
-    good = 1 / (1 + F.exp(-F.col("log_odds")))
+    """(host, path, n, s, hn, hs, host_share, path_share) and the priors from (host, path, log_odds); staged.
+
+    ``n`` and ``s`` are the path's documents and the good ones expected among them,
+    ``hn`` and ``hs`` the host's; the shares are their posteriors. With them come the whole corpus's ``share``, and
+    the documents that it is worth to a host (``host_worth``) and a host to a path (``path_worth``).
+    """
+    good = _good(F.col("log_odds"))
     paths = stage(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s")), "paths",
                   n=F.sum("n"), s=F.sum("s"))
     share = (measures_of(paths)["s"] or 0.0) / max(measures_of(paths)["n"] or 0, 1)
     share = min(max(share, 1e-6), 1 - 1e-6)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     worth = _worth(hosts, F.lit(share), "hn", "hs")
-    hosts = stage(hosts.select(F.col("host").alias("_host"), (
-        (F.col("hs") + worth * share) / (F.col("hn") + worth)).alias("host_share")), "hosts")
+    hosts = stage(hosts.withColumnRenamed("host", "_host"), "hosts")
     both = paths.join(checked_broadcast(hosts), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    worth = _worth(both, F.col("host_share"), "n", "s")
-    return stage(both.withColumn("path_share", (F.col("s") + worth * F.col("host_share")) / (
-        F.col("n") + worth)).select("host", "path", "n", "host_share", "path_share"), "sites")
+    host_share = _shrunk(F.col("hs"), F.col("hn"), F.lit(share), F.lit(worth))
+    path_worth = _worth(both.withColumn("host_share", host_share), F.col("host_share"), "n", "s")
+    both = both.withColumn("host_share", host_share)
+    path_share = _shrunk(F.col("s"), F.col("n"), F.col("host_share"), F.lit(path_worth))
+    return stage(both.select(
+        "host", "path", "n", "s", "hn", "hs", "host_share", path_share.alias("path_share"), F.lit(share).alias("share"),
+        F.lit(worth).alias("host_worth"), F.lit(path_worth).alias("path_worth")), "sites")
+
+
+def _good(log_odds: Column) -> Column:
+    return 1 / (1 + F.exp(-log_odds))
+
+
+def _shrunk(good: Column, n: Column, prior: Column, worth: Column) -> Column:
+    return (good + worth * prior) / (n + worth)
+
+
+def other_shares(log_odds: Column) -> tuple[Column, Column]:
+    """Posterior shares of a document's host and path from all their other documents, beside its site's columns."""
+    own = _good(log_odds)
+    host = _shrunk(F.col("hs") - own, F.col("hn") - 1, F.col("share"), F.col("host_worth"))
+    return host, _shrunk(F.col("s") - own, F.col("n") - 1, host, F.col("path_worth"))
 
 
 def _worth(groups: DataFrame, prior: Column, n: str, s: str) -> float:
@@ -154,7 +180,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
           text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, host, path, held_out, log_odds, host_share, path_share, score and predicted of every document.
 
-    ``predicted`` is 1 where the score is at least 0.5. Null hosts and paths are
+    ``predicted`` is 1 where the score is at least 0.5; the shares are those of the
+    host's and the path's other documents. Null hosts and paths are
     sites; null and blank texts have the bias as evidence; repeated rows are
     judged alike and count each in their site. Other columns are ignored.
     """
@@ -182,8 +209,10 @@ def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, doc_id: st
         F.col(doc_id).cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"),
         evidence_column(docs.sparkSession, weights, F.col(text)).alias("log_odds"), *carried), "evidence")
     sites = site_posteriors(rows)
-    known = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_share", "path_share")
+    known = sites.withColumnsRenamed({"host": "_h", "path": "_p"})
     known.staged_measures = measures_of(sites)
     same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
-    return rows.join(checked_broadcast(known), same).withColumn(
+    host_share, path_share = other_shares(F.col("log_odds"))
+    return rows.join(checked_broadcast(known), same).withColumns(
+        {"host_share": host_share, "path_share": path_share}).withColumn(
         "score", posterior(F.col("log_odds"), share, F.col("path_share")))

@@ -153,18 +153,21 @@ def keep_firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     judged for itself. Null doc_ids come last. Of a component's rows with one
     doc_id, that with the smallest text stays, then by the other columns.
     """
-    marked = stage(docs.withColumn("_fp", _fingerprint_column(docs, text, shingle)), "marked")
-    named = stage(_components(marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_fp").alias("fp")),
+    # A row travels as one column, so that the names of its own columns don't matter.
+    names = [f"`{c}`" for c in docs.columns]
+    own_id, own_text = F.col(f"_row.`{doc_id}`").cast("long"), F.col(f"_row.`{text}`")
+    marked = stage(docs.select(F.struct(*names).alias("_row"), _fingerprint_column(docs, text, shingle).alias("_fp")),
+                   "marked")
+    named = stage(_components(marked.select(own_id.alias("doc_id"), F.col("_fp").alias("fp")),
                               max_bits).toDF("_fp", "_component", "_least"), "named")
-    firsts = marked.join(checked_broadcast(named), "_fp").filter(
-        F.col(doc_id).cast("long").eqNullSafe(F.col("_least")))
+    firsts = marked.join(checked_broadcast(named), "_fp").filter(own_id.eqNullSafe(F.col("_least")))
     ties = stage(firsts.groupBy("_component").count().filter("count > 1").select(
         F.col("_component").alias("_tied")), "ties")
     if not most_rows(ties):
-        return firsts.select(*docs.columns)
+        return firsts.select("_row.*")
     on = F.col("_component") == F.col("_tied")
-    once = firsts.join(checked_broadcast(ties), on, "left_anti").select(*docs.columns)
+    once = firsts.join(checked_broadcast(ties), on, "left_anti").select("_row.*")
     least = firsts.join(checked_broadcast(ties), on, "left_semi").groupBy("_component").agg(
-        F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(text, F.lit("")), *[
-            c for c in docs.columns if c != text])).alias("_row"))
+        F.min_by("_row", F.struct(F.coalesce(own_text, F.lit("")), *[
+            F.col(f"_row.{c}") for c in names if c != f"`{text}`"])).alias("_row"))
     return once.unionByName(least.select("_row.*"))

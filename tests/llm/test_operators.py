@@ -13,7 +13,10 @@ import pytest
 import sentencepiece
 import xxhash
 
-from stowline.llm import mixing, near_vectors, neighbours, page_text, pieces, quality, simhash, token_files, toxicity, urls
+from pyspark.sql import functions as F
+
+from stowline.llm import (labelled, mixing, near_vectors, neighbours, page_text, pieces, quality, simhash, token_files,
+                          toxicity, urls)
 from stowline.llm.common import BATCH_BYTES, Memory, bound_batches
 from stowline.llm.components import components
 
@@ -449,3 +452,122 @@ def test_text_batches_are_only_ever_made_smaller(spark):
             assert left in (given, str(bound)) and (left == given) == (bound < BATCH_BYTES)
     finally:
         spark.conf.set(name, before)
+
+
+# Classifiers against plain versions
+
+def test_site_shares_leave_the_document_out(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["h1", "h1", "h2", None]), draw.choice("pq"), draw.gauss(0, 3)) for _ in range(60)] + [("h3", "p", 4.0)]
+    evidence = spark.createDataFrame(rows, "host string, path string, log_odds double")
+    sites = {(r.host, r.path): r for r in quality.site_posteriors(evidence).collect()}
+    host, path = quality.other_shares(F.col("log_odds"))
+    table = spark.createDataFrame([(*row, *(sites[row[:2]][c] for c in ("n", "s", "hn", "hs", "share", "host_worth", "path_worth")))
+                                   for row in rows], "host string, path string, log_odds double, n long, s double, hn long, "
+                                  "hs double, share double, host_worth double, path_worth double")
+    good = [1 / (1 + math.exp(-x)) for _, _, x in rows]
+    total = sum(good) / len(good)
+    for i, r in enumerate(table.select("*", host.alias("host_share"), path.alias("path_share")).collect()):
+        others = [(h, p, g) for j, ((h, p, _), g) in enumerate(zip(rows, good)) if j != i]
+        at_host = [g for h, _, g in others if h == r.host]
+        at_path = [g for h, p, g in others if (h, p) == (r.host, r.path)]
+        by_host = (sum(at_host) + r.host_worth * total) / (len(at_host) + r.host_worth)
+        by_path = (sum(at_path) + r.path_worth * by_host) / (len(at_path) + r.path_worth)
+        assert (r.host_share, r.path_share) == pytest.approx((by_host, by_path))
+    assert sites["h3", "p"].path_share > total  # one document speaks for its site, but not for itself
+
+
+@pytest.mark.parametrize("bias", [-3.0, 3.0])
+def test_the_risk_and_its_gradient(bias):
+    draw = np.random.default_rng(5)
+    width, prior = 12, 0.3
+    positive = [draw.integers(0, 6, draw.integers(0, 9)) for _ in range(20)]
+    unlabelled = [draw.integers(0, width, draw.integers(0, 9)) for _ in range(50)]
+    weights = np.append(draw.normal(size=width), bias)
+    sparse = [toxicity.Sparse(x, None, width) for x in (positive, unlabelled)]
+
+    def plain(w):
+        def mean(rows, sign):
+            return sum(math.log1p(math.exp(-sign * (sum(w[f] for f in row) + w[-1]))) for row in rows) / len(rows)
+        return prior * mean(positive, 1), mean(unlabelled, -1) - prior * mean(positive, -1)
+
+    missing, blaming, gradient = toxicity.risk(weights, *sparse, prior)
+    assert (missing, blaming) == pytest.approx(plain(weights))
+    step = 1e-5
+    for k in range(width + 1):
+        up, down = (plain(weights + d * np.eye(width + 1)[k]) for d in (step, -step))
+        whole = (sum(up) - sum(down)) / (2 * step)
+        back = -(up[1] - down[1]) / (2 * step)  # the turned gradient leads the second risk up again
+        assert gradient[k] == pytest.approx(whole if blaming >= 0 else back, abs=1e-6)
+
+
+def test_toxic_texts_are_found(spark):
+    """Of the held-out rows: no few are found, and few clean ones are blamed."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, labels).filter("held_out").join(labels, "doc_id")
+    toxic, found, clean, blamed = scored.agg(
+        F.count_if(F.col("toxic") == 1), F.count_if((F.col("toxic") == 1) & (F.col("predicted") == 1)),
+        F.count_if(F.col("toxic") == 0), F.count_if((F.col("toxic") == 0) & (F.col("predicted") == 1))).first()
+    assert toxic > 50 and found >= 0.8 * toxic
+    assert blamed <= 0.02 * clean
+
+
+def test_a_repeated_id_sends_one_text(spark):
+    rows = [(1, f"text {i}", "en", "s") for i in range(500)] + [(i, "clean words here", "en", "s") for i in (2, 3, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = spark.createDataFrame([(1, True), (1, False), (2, False), (9, True)], "doc_id long, p boolean")
+    sent = labelled.sample_texts(docs, wanted, "doc_id", "text")
+    assert sorted((r.p, r.t) for r in sent.collect()) == [(False, "clean words here"), (False, "text 0"), (True, "text 0")]
+
+
+# The pipeline's stages
+
+CLASHES = ["_row", "_sign", "_copy", "_copies", "_fp", "_component", "_least", "_tied", "_doc", "a.b", "fp", "host", "path", "size",
+           "rank", "turn", "score", "log_odds", "again", "_h", "_p", "n", "s", "t", "p", "y"]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """A folder whose documents have odd rows and clashing names, and its labels."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(i, t, None if n % 2 else "xx", None if n % 3 else "odd", None) for n, (i, t) in enumerate(ODD)],
+                                docs.schema)
+    more = docs.union(odd).select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("doc_id", F.lit(-1))).alias(c) for c in CLASHES])
+
+    def write(rows):
+        rows.write.parquet(str(tmp_path / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / "labels.parquet"))
+        return str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    return write, more
+
+
+def test_stages_on_odd_rows(spark, folder):
+    import corpus_pipeline
+
+    write, more = folder
+    path, docs = write(more)
+    columns = docs.columns
+    key = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        kept = function(spark, docs, path)
+        assert kept.columns == columns, name
+        kept = kept.cache()
+        # Whole rows of the table, their other columns untouched.
+        assert kept.select(key).distinct().exceptAll(docs.select(key).distinct()).isEmpty(), name
+        assert 0 < kept.count() <= 2 * docs.count()
+        if name == "near duplicates":
+            assert kept.filter("doc_id = 5 and text = 'a b c'").count() <= 1
+        docs = kept
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert last.count() == docs.count()
+
+
+def test_stages_on_an_empty_table(spark, folder):
+    import corpus_pipeline
+
+    write, more = folder
+    path, _ = write(more.limit(0))
+    assert corpus_pipeline.run(spark, path).collect() == []

@@ -42,11 +42,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; most sources are repeated, some are cut."""
     # Ids can repeat or be null, so each row has a number of its own; among rows of one id, their content decides.
-    rows = stage(docs.withColumns({"_sign": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()}), "rows")
-    mixed = mixing.mix(rows, keep=("_sign", "_row")).filter("copies > 0")
+    # A row travels as one column, so that the names of its own columns don't matter.
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stage(docs.select(doc.alias("_doc"), F.xxhash64(doc).alias("_sign"),
+                             F.monotonically_increasing_id().alias("_row")), "rows")
+    mixed = mixing.mix(rows, "_doc.doc_id", "_doc.text", "_doc.source", keep=("_sign", "_row")).filter("copies > 0")
     taken = stage(mixed.select("_row", F.col("copies").alias("_copies")), "copies")
     return rows.join(checked_broadcast(taken), "_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 A stripe is one prefix (one to four words) with an associative counter of the
 words that follow it. Tasks count stripes locally, flush them at a bounded size,
 and stripes of a prefix are merged elementwise as they stream out of a sorted
-shuffle. Each merged stripe gives the counts of all extensions of its prefix,
-the prefix's own total, and the largest extension, which decides subsumption.
+shuffle. The merged stripes give the counts of all extensions, which are the
+totals of the prefixes one word longer, and the largest extension of each
+prefix, which decides subsumption.
 
-A phrase is frequent only if its words and its pairs are, so the corpus is read
-three times. Words are counted first: that is the stripe of the empty prefix. Then
+A phrase is frequent only if all phrases in it are, so the corpus is read
+four times. Words are counted first: that is the stripe of the empty prefix. Then
 hashes of pairs of words that may be frequent are counted, over whole batches of
-bytes at once. Stripes hold what may be frequent by then. "May be" is a Bloom filter
+bytes at once, and hashes of triples of such pairs. Stripes hold what may be
+frequent by then. "May be" is a Bloom filter
 of bounded size: it lets strangers through, as equal hashes do, and the exact
 counts of the stripes drop them; it never loses a phrase.
 
@@ -37,9 +39,11 @@ from stowline.operators.bloom import blocks_for, bloom_blocks
 from stowline.sources.staging import measures_of, most_rows, stage
 
 MOST_WORDS = 5
+#: Phrases of up to so many words are filtered by the counts of their hashes.
+HASHED_WORDS = 3
 #: Counter entries a task holds before it sends them on, and words between two looks at their number.
 HELD, LOOK = 500_000, 50_000
-#: Hashes of pairs a task holds before it sends their counts on.
+#: Hashes of pairs or triples a task holds before it sends their counts on.
 PAIRS = 4_000_000
 #: A prefix above this share of all words is split, into so many slots a share.
 HOT, SLOTS = 1000, 4
@@ -51,8 +55,8 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 # Words that follow a prefix, joined by spaces, and their counts as 64-bit numbers.
 _STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("slot", pa.int32()),
-                     ("other", pa.int64()), ("next", pa.binary()), ("counts", pa.binary())])
-_STRIPE_SQL = "lang string, prefix binary, slot int, other long, next binary, counts binary"
+                     ("next", pa.binary()), ("counts", pa.binary())])
+_STRIPE_SQL = "lang string, prefix binary, slot int, next binary, counts binary"
 Stripes = dict[bytes, dict[bytes, int]]
 
 
@@ -79,13 +83,16 @@ def collocations(docs: DataFrame, at_least: int = 100, first: int = 2000, covere
         words = stage(_count_words(docs), "words", words=F.sum("n"))
         often = stage(words.filter(F.col("n") >= at_least).select("lang", F.col("word").alias("phrase"), "n"), "often")
         frequent = _filter(stage(often.select("lang", "phrase").mapInArrow(_hashed, "h long"), "hashes"))
-        pairs = stage(_count_pairs(docs, frequent).filter(F.col("n") >= at_least).select("h"), "pairs")
+        filters = [frequent]
+        for _ in range(2, HASHED_WORDS + 1):
+            hashes = _count_hashes(docs, filters).filter(F.col("n") >= at_least).select("h")
+            filters.append(_filter(stage(hashes, "hashes")))
         slots = _slots(often, measures_of(words)["words"] or 0)
-        stripes = _merged(_stripes(docs, frequent, _filter(pairs), slots), at_least)
+        stripes = _merged(_stripes(docs, filters, slots), at_least)
 
     phrases = stage(_extensions(stripes), "phrases")
     lengths = words.groupBy("lang").agg(F.sum("n").alias("n"))  # one row per language
-    scored = _scored(phrases, stripes, often, lengths)
+    scored = _scored(phrases, often, lengths)
     kept = scored.join(_subsumed(phrases, stripes, covered), ["lang", "phrase"], "left_anti")
     return _ranked(kept, most_rows(phrases), first)
 
@@ -185,9 +192,14 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """All words of a batch of texts: their places, hashes, and which neighbours are in one piece."""
+    """All words of a batch of texts: their places, and what may be frequent from the filters so far.
 
-    def __init__(self, batch: pa.RecordBatch, frequent: "Maybe"):
+    ``may_be[k]`` tells for each word whether the phrase of k + 1 words that begins
+    there lies in one piece and may be frequent; ``hashes`` are those of the phrases one word longer than
+    the filters know, and ``open`` those of which both parts may be frequent.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, filters: list["Maybe"]):
         raw, offsets = _bytes_of(batch.column("text"))
         kind = _CLASS[raw]
         self.folded = _LOWER[raw]
@@ -204,11 +216,14 @@ class _Words:
         piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts) + self.text
         self.langs = batch.column("lang").to_pylist()
         lang = np.array([_lang_hash(x) for x in self.langs], np.uint64)[self.text]
-        h = word_hashes(self.folded, self.starts, self.ends)
-        may_be = frequent(_mixed(h + lang))
-        #: Whether each word and the next one are in one piece and both may be frequent, and their hash.
-        self.paired = (piece[1:] == piece[:-1]) & may_be[1:] & may_be[:-1]
-        self.pairs = _mixed(h[:-1] * np.uint64(_BASE) + h[1:] * np.uint64(_NEXT) + lang[:-1])
+        words = word_hashes(self.folded, self.starts, self.ends)
+        self.hashes, self.open = _mixed(words + lang), np.ones(len(words), bool)
+        self.may_be = []
+        for size, asked in enumerate(filters, 1):
+            self.open[self.open] = asked(self.hashes[self.open])
+            self.may_be.append(self.open)
+            self.hashes = _mixed(self.hashes[:-1] * np.uint64(_BASE) + words[size:] * np.uint64(_NEXT))
+            self.open = self.open[1:] & self.open[:-1] & (piece[size:] == piece[:len(piece) - size])
 
 
 class Maybe:
@@ -235,8 +250,8 @@ def _filter(hashes: DataFrame) -> Maybe:
     return Maybe(spark.sparkContext.broadcast(bits.tobytes()), blocks)
 
 
-def _count_pairs(docs: DataFrame, frequent: Maybe) -> DataFrame:
-    """(h, n): how often each hash of a pair occurs, between words that may be frequent."""
+def _count_hashes(docs: DataFrame, filters: list[Maybe]) -> DataFrame:
+    """(h, n): how often each hash of a phrase one word longer occurs, if its parts may be frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -245,8 +260,8 @@ def _count_pairs(docs: DataFrame, frequent: Maybe) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            words = _Words(batch, frequent)
-            held.append(words.pairs[words.paired])
+            words = _Words(batch, filters)
+            held.append(words.hashes[words.open])
             size += len(held[-1])
             if size >= PAIRS:
                 yield counted()
@@ -264,12 +279,8 @@ def _slots(often: DataFrame, total: int) -> dict[tuple[str, bytes], int]:
             for lang, phrase, n in often.filter(F.col("n") > share).collect()}
 
 
-def _stripes(docs: DataFrame, frequent: Maybe, frequent_pairs: Maybe, slots: dict[tuple[str, bytes], int]) -> DataFrame:
-    """Partial stripes (lang, prefix, slot, other, next, counts) along pairs that may be frequent.
-
-    What else follows a prefix of two words or more counts as the empty word; the
-    totals of single words are known.
-    """
+def _stripes(docs: DataFrame, filters: list[Maybe], slots: dict[tuple[str, bytes], int]) -> DataFrame:
+    """Partial stripes (lang, prefix, slot, next, counts) of what may be frequent."""
     sent = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,19 +288,24 @@ def _stripes(docs: DataFrame, frequent: Maybe, frequent_pairs: Maybe, slots: dic
         held: dict[str, Stripes] = {}
         seen = 0
         for batch in batches:
-            words = _Words(batch, frequent)
-            good = words.paired.copy()
-            good[good] = frequent_pairs(words.pairs[good])
-            edge = np.diff(np.concatenate([[False], good, [False]]).astype(np.int8))
+            words = _Words(batch, filters)
+            pairs = words.may_be[1]
+            # The longest phrase that ends with each pair's second word: as long as all its triples may be frequent.
+            longest = np.where(pairs, 2, 0)
+            longer = words.may_be[2]
+            for size in range(3, MOST_WORDS + 1):
+                longest[size - 2:][longer] = size
+                longer = longer[1:] & longer[:-1]
             text = words.folded.tobytes()
+            edge = np.diff(np.concatenate([[False], pairs, [False]]).astype(np.int8))
             # Runs of pairs: from the first word to the last.
             for first, last in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                 stripes = held.setdefault(words.langs[words.text[first]], {})
-                for start in range(first, last + 1, LOOK):
+                for start in range(first, last, LOOK):
                     begin, end = max(first, start - MOST_WORDS + 2), min(last, start + LOOK)
                     run_ = [text[a:b] for a, b in zip(words.starts[begin:end + 1].tolist(), words.ends[begin:end + 1].tolist())]
-                    _count_run(run_, start - begin, min(start + LOOK, last + 1) - begin, stripes)
-                    seen += end - start + 1
+                    _count_run(run_, start - begin, longest[start:end].tolist(), stripes)
+                    seen += end - start
                     if seen >= LOOK:
                         seen = 0
                         if sum(sum(map(len, s.values())) for s in held.values()) >= HELD:
@@ -299,13 +315,14 @@ def _stripes(docs: DataFrame, frequent: Maybe, frequent_pairs: Maybe, slots: dic
     return docs.mapInArrow(run, _STRIPE_SQL)
 
 
-def _count_run(words: list[bytes], start: int, stop: int, stripes: Stripes) -> None:
-    """Count what follows each prefix that ends at a word from ``start`` on and before ``stop``."""
-    last = len(words) - 1
-    for at in range(start, stop):
-        after = words[at + 1] if at < last else b""
-        for size in range(1 if after else 2, min(at + 1, MOST_WORDS - 1) + 1):
-            prefix = words[at] if size == 1 else b" ".join(words[at - size + 1:at + 1])
+def _count_run(words: list[bytes], start: int, longest: list[int], stripes: Stripes) -> None:
+    """Count the phrases that end with each pair from word ``start`` on, up to the ``longest`` of each."""
+    for at, most in enumerate(longest, start):
+        after = words[at + 1]
+        prefix = words[at]
+        for size in range(2, most + 1):
+            if size > 2:
+                prefix = words[at + 2 - size] + b" " + prefix
             stripe = stripes.get(prefix)
             if stripe is None:
                 stripe = stripes[prefix] = {}
@@ -313,24 +330,21 @@ def _count_run(words: list[bytes], start: int, stop: int, stripes: Stripes) -> N
 
 
 def _sent(held: dict[str, Stripes], hot: dict[tuple[str, bytes], int]) -> Iterator[pa.RecordBatch]:
-    """The held stripes as rows, hot ones in slots from 1; ``held`` keeps its empty dicts."""
+    """The held stripes as rows, hot ones in slots; ``held`` keeps its empty dicts."""
     rows = []
     for lang, stripes in held.items():
         for prefix, counts in stripes.items():
-            slots = hot.get((lang, prefix.split(b" ", 1)[0]))
-            other = counts.pop(b"", 0)
+            slots = hot.get((lang, prefix.split(b" ", 1)[0]), 1)
             parts: dict[int, tuple[list, list]] = {}
-            if slots is None:
+            if slots == 1:
                 parts[0] = list(counts), list(counts.values())
             else:
                 for word, n in counts.items():
-                    some = parts.setdefault(1 + zlib.crc32(word) % slots, ([], []))
+                    some = parts.setdefault(zlib.crc32(word) % slots, ([], []))
                     some[0].append(word)
                     some[1].append(n)
-                parts = parts or {1: ([], [])}
-            for slot, (words, some) in parts.items():
-                rows.append((lang, prefix, slot, other, b" ".join(words), np.array(some, "<i8").tobytes()))
-                other = 0
+            rows += [(lang, prefix, slot, b" ".join(words), np.array(some, "<i8").tobytes())
+                     for slot, (words, some) in parts.items()]
             if len(rows) >= 5000:
                 yield _batch(rows)
                 rows = []
@@ -345,20 +359,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merged(stripes: DataFrame, at_least: int) -> DataFrame:
-    """(lang, prefix, total, next, counts, most): stripes merged elementwise; staged.
+    """(lang, prefix, next, counts, most): stripes merged elementwise, without entries below ``at_least``; staged.
 
-    ``total`` counts every occurrence of a prefix of two words or more; entries below
-    ``at_least`` go no further than that. A hot prefix has a row for each of its slots.
+    A hot prefix has a row for each of its slots.
     """
-    names = ["lang", "prefix", "total", "next", "counts", "most"]
-    kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
+    names = ["lang", "prefix", "next", "counts", "most"]
+    kinds = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        for (lang, prefix, slot), total, counts in _merging(batches):
-            if slot or total >= at_least:
-                kept = {word: n for word, n in counts.items() if n >= at_least}
-                done.append((lang, prefix, total, list(kept), list(kept.values()), max(kept.values(), default=0)))
+        for (lang, prefix, _), counts in _merging(batches):
+            kept = {word: n for word, n in counts.items() if n >= at_least}
+            if kept:
+                done.append((lang, prefix, list(kept), list(kept.values()), max(kept.values())))
             if len(done) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)], names)
                 done = []
@@ -367,28 +380,23 @@ def _merged(stripes: DataFrame, at_least: int) -> DataFrame:
 
     keys = ["lang", "prefix", "slot"]
     return stage(stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        run, "lang string, prefix binary, total long, next array<binary>, counts array<long>, most long"), "stripes")
+        run, "lang string, prefix binary, next array<binary>, counts array<long>, most long"), "stripes")
 
 
-def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, dict[bytes, int]]]:
-    """(key, total, counts) of each key, whose partial stripes follow each other."""
-    key, total, counts = None, 0, {}
+def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[bytes, int]]]:
+    """(key, counts) of each key, whose partial stripes follow each other."""
+    key, counts = None, {}
     for batch in slices(batches, 512):
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for lang, prefix, slot, other, words, raw in zip(*columns, strict=True):
+        for lang, prefix, slot, words, raw in zip(*columns, strict=True):
             if key != (lang, prefix, slot):
                 if key is not None:
-                    yield key, total, counts
-                key, total, counts = (lang, prefix, slot), 0, {}
-            some = np.frombuffer(raw, "<i8")
-            total += other + int(some.sum())
-            if not counts:
-                counts = dict(zip(words.split(), some.tolist(), strict=True))
-            else:
-                for word, n in zip(words.split(), some.tolist(), strict=True):
-                    counts[word] = counts.get(word, 0) + n
+                    yield key, counts
+                key, counts = (lang, prefix, slot), {}
+            for word, n in zip(words.split(), np.frombuffer(raw, "<i8").tolist(), strict=True):
+                counts[word] = counts.get(word, 0) + n
     if key is not None:
-        yield key, total, counts
+        yield key, counts
 
 
 def _extensions(stripes: DataFrame) -> DataFrame:
@@ -413,18 +421,17 @@ def _subsumed(phrases: DataFrame, stripes: DataFrame, covered: int) -> DataFrame
     return phrases.join(most, ["lang", "phrase"]).filter((F.col("most") > 0) & enough).select("lang", "phrase")
 
 
-def _scored(phrases: DataFrame, stripes: DataFrame, often: DataFrame, lengths: DataFrame) -> DataFrame:
+def _scored(phrases: DataFrame, often: DataFrame, lengths: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of every candidate, by its lowest-scoring cut."""
-    totals = stripes.groupBy("lang", F.col("prefix").cast("string").alias("head")).agg(F.sum("total").alias("l"))
-    totals = stage(totals.filter(F.col("head").contains(" ")).union(often), "totals")
-    counts = stage(phrases.union(often).toDF("lang", "rest", "r"), "counts")
+    counts = stage(phrases.union(often).toDF("lang", "part", "n"), "counts")
+    heads = checked_broadcast(counts).toDF("lang", "head", "l")
+    rests = checked_broadcast(counts).toDF("lang", "rest", "r")
     words = F.split("phrase", " ")
     cuts = phrases.select("lang", "phrase", F.col("n").alias("a"), F.explode(
         F.sequence(F.lit(1), F.size(words) - 1)).alias("k")).withColumns({
             "head": F.array_join(F.slice(words, F.lit(1), F.col("k")), " "),
             "rest": F.array_join(F.slice(words, F.col("k") + 1, F.lit(MOST_WORDS)), " ")})
-    cuts = cuts.join(checked_broadcast(totals), ["lang", "head"]).join(checked_broadcast(counts), ["lang", "rest"]).join(
-        F.broadcast(lengths), "lang")
+    cuts = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).join(F.broadcast(lengths), "lang")
     best = cuts.withColumn("score", exact_score(F.col("a"), F.col("n"), F.col("l"), F.col("r"))).groupBy(
         "lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     return best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

@@ -101,16 +101,20 @@ def test_scores_beyond_64_bits(spark):
     assert [r[0] for r in table.select(score).collect()] == [1000 * a * n // (x * y) for a, n, x, y in rows]
 
 
-def test_totals_count_every_occurrence(docs, monkeypatch):
-    """Prefix totals of the stripes equal the counts of the phrases, and so do the extensions of shorter ones."""
+def test_stripes_hold_all_extensions(docs, monkeypatch):
+    """The merged stripes count every frequent extension; nothing that is rare by its triples is in a stripe."""
     seen = {}
-    kept = collocations._scored
-    monkeypatch.setattr(collocations, "_scored", lambda phrases, stripes, often, lengths: seen.update(
-        stripes=stripes, phrases=phrases) or kept(phrases, stripes, often, lengths))
-    collocations.collocations(docs(corpus(2)), 5)
-    totals = {(r[0], r[1].decode()): r[2] for r in seen["stripes"].groupBy("lang", "prefix").agg(F.sum("total")).collect()}
-    counts = {(r[0], r[1]): r[2] for r in seen["phrases"].collect() if 2 <= len(r[1].split(" ")) <= 4}
-    assert len(counts) > 20 and counts.items() <= totals.items()
+    kept = collocations._merged
+    monkeypatch.setattr(collocations, "_merged", lambda stripes, at_least: seen.update(
+        partial=stripes, merged=kept(stripes, at_least)) or seen["merged"])
+    rows = corpus(2)
+    collocations.collocations(docs(rows), 5).collect()
+    true = phrases_of(rows, 5, 10 ** 9, 10 ** 9)  # nothing is dropped
+    found = {(r.lang, r.prefix.decode() + " " + w.decode()): n for r in seen["merged"].collect()
+             for w, n in zip(r.next, r.counts)}
+    assert found == {(lang, phrase): a for lang, _, phrase, a, *_ in true}
+    partial = {(r.lang, r.prefix.decode()) for r in seen["partial"].collect()}
+    assert {p for p in partial if p[1].count(" ") == 1} <= set(found)
 
 
 def test_hashes_do_not_depend_on_the_place(monkeypatch):

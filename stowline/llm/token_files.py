@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowline.llm.common import slices
+from stowline.llm.common import slices, text_batches
 from stowline.sources.staging import stage
 
 BLOCK_IDS = 65_536
-#: Parts of words remembered by a worker; frequent ones survive a change of generation.
-REMEMBERED = 250_000
-_TOGETHER = 1000
+#: Words remembered by a worker; frequent ones survive a change of generation.
+REMEMBERED = 500_000
+_TOGETHER = 100
 
-#: Texts of these characters are lower-cased alike everywhere and are in normal form C.
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Texts of these characters are lower-cased and split into words alike everywhere and are in normal form C.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 _SPACE, _LETTER = " \t\n\r\x0b\x0c", "a-zß-öø-ÿ"
 #: The pre-tokeniser's pattern for such texts in lower case; fixed value of the vocabulary file.
 _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_SPACE}0-9{_LETTER}]+")
@@ -43,9 +44,9 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """Ids by the tokenizers library, asked once for each distinct part of a text.
 
-    The pre-tokeniser parts texts for good in this kind of vocabulary. Texts of
-    plain characters are parted by its own pattern here; in other texts, words
-    that are not plain go to the library whole.
+    The pre-tokeniser parts texts for good in this kind of vocabulary. Words of
+    plain characters are parted by its own pattern here, words that are not go
+    to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -62,53 +63,76 @@ class Encoder:
                 or [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]
                 or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])):
             raise ValueError("not a vocabulary of lower-cased words parted by white space")
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
+        suffix = spec["model"]["end_of_word_suffix"]
+        vocabulary = self.library.get_vocab()
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._fresh: dict[str, bytes] = {}
         self._kept: dict[str, bytes] = {}
 
-    def _cut(self, text: str, wholes: set[str]) -> list[str]:
-        if _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
-            return _PARTS.findall(text.lower())
-        out = []
-        for word in text.replace("\n", " ").split(" "):
-            if _PLAIN.fullmatch(word) and not any(t in word for t in self.added):
-                out += _PARTS.findall(word.lower())
-            else:
-                wholes.add(word)
-                out.append(word)
-        return out
-
-    def _ask(self, parts: list[str]) -> None:
-        """Ids of parts that are one pre-token each, asked in one text."""
-        for start in range(0, len(parts), _TOGETHER):
-            some = parts[start:start + _TOGETHER]
-            found = self.library.encode(" ".join(some), add_special_tokens=False)
-            ids, words = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(words, np.arange(len(some)), "right")
-            if not len(words) or words[-1] != len(some) - 1:
+    def _lowered(self, text: str) -> str | None:
+        """The text in lower case; None if it is not plain or might hold an added token."""
+        if _PLAIN.fullmatch(text):
+            text = text.lower()
+            if not any(t in text for t in self.added):
+                return text
+        return None
+
+    def _ask(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that are one pre-token each, asked many in one text."""
+        asked: dict[str, bytes] = {}
+        texts = [parts[start:start + _TOGETHER] for start in range(0, len(parts), _TOGETHER)]
+        found = self.library.encode_batch_fast([" ".join(some) for some in texts], add_special_tokens=False)
+        for some, encoding in zip(texts, found, strict=True):
+            ids = np.array(encoding.ids, np.uint32)
+            ends = np.flatnonzero(self.word_ends[ids]) + 1
+            if len(ends) != len(some):
                 raise ValueError(f"the library parts these otherwise: {some[:20]}")
-            raw = ids.tobytes()
-            self._fresh.update((part, raw[4 * a:4 * b]) for part, a, b in zip(some, [0, *ends[:-1]], ends))
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            asked.update((part, raw[a:b]) for part, a, b in zip(some, [0, *ends], ends))
+        return asked
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new plain words in lower case."""
+        cut = {word: _PARTS.findall(word) for word in words if not word.isalpha()}
+        parts = set(chain.from_iterable(cut.values())).difference(self._fresh)
+        parts.update(filter(str.isalpha, words))
+        older = self._kept.keys() & parts
+        self._fresh.update((part, self._kept[part]) for part in older)
+        self._fresh.update(self._ask(list(parts - older)))
+        known = self._fresh.__getitem__
+        self._fresh.update((word, b"".join(map(known, own))) for word, own in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self._fresh) > REMEMBERED:
             self._fresh, self._kept = {}, self._fresh
-        wholes: set[str] = set()
-        cut = [self._cut(t, wholes) for t in texts]
-        new = []
-        for part in set(chain.from_iterable(cut)).difference(self._fresh):
-            ids = self._kept.get(part)
-            if ids is None:
-                new.append(part)
-            else:
-                self._fresh[part] = ids
-        whole = [part for part in new if part in wholes]
-        self._ask([part for part in new if part not in wholes])
-        for part, found in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self._fresh[part] = np.array(found.ids, np.uint32).tobytes()
+        cut, wholes = [], set()
+        for text in texts:
+            plain = self._lowered(text)
+            if plain is not None:
+                cut.append(plain.split())
+                continue
+            words = []
+            for word in text.replace("\n", " ").split(" "):
+                plain = self._lowered(word)
+                if plain is None:
+                    wholes.add(word)
+                    words.append(word)
+                else:
+                    words += plain.split()
+            cut.append(words)
+        new = set(chain.from_iterable(cut)).difference(self._fresh)
+        older = self._kept.keys() & new
+        self._fresh.update((word, self._kept[word]) for word in older)
+        new -= older
+        whole = list(new & wholes)
+        self._learn(list(new.difference(wholes)))
+        for word, found in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self._fresh[word] = np.array(found.ids, np.uint32).tobytes()
         known = self._fresh.__getitem__
-        return [b"".join(map(known, parts)) for parts in cut]
+        return [b"".join(map(known, words)) for words in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -179,12 +203,13 @@ _BLOCK_SQL = ("part int, block long, first long, n_ids int, planes array<binary>
 def write_ids(tokens: DataFrame, path: str, unit: str = "byte", block_ids: int = BLOCK_IDS) -> None:
     """Write (doc_id, ids) in ascending ``doc_id`` order as bit-plane files under ``path``.
 
-    Equal doc_ids follow each other by their ids, a null doc_id comes first.
-    Each task writes the documents of one range of doc_ids, block by block.
+    A null doc_id comes first. Rows of one doc_id follow each other by the hash of
+    their ids, and a much repeated doc_id is shared by several tasks. Each
+    task writes the documents of one range, block by block.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        waiting, held, seen, block = [], 0, 0, 0
+        waiting, used, held, seen, block = deque(), 0, 0, 0, 0
         index: list[tuple[int | None, int, int]] = []
 
         def row(ids: np.ndarray, docs: list) -> pa.RecordBatch:
@@ -200,16 +225,27 @@ def write_ids(tokens: DataFrame, path: str, unit: str = "byte", block_ids: int =
                 held += len(ids)
                 seen += len(ids)
                 while held >= block_ids:
-                    joined = np.concatenate(waiting)
+                    taken, missing = [], block_ids
+                    while missing:
+                        some = waiting[0][used:used + missing]
+                        taken.append(some)
+                        missing, used = missing - len(some), used + len(some)
+                        if used == len(waiting[0]):
+                            waiting.popleft()
+                            used = 0
                     end = (block + 1) * block_ids
-                    yield row(joined[:block_ids], [d for d in index if d[1] < end])
+                    yield row(np.concatenate(taken), [d for d in index if d[1] < end])
                     index = [d for d in index if d[1] >= end or d[1] + d[2] > end]
-                    waiting, held, block = [joined[block_ids:]], held - block_ids, block + 1
+                    held, block = held - block_ids, block + 1
         if held or index:
-            yield row(np.concatenate([np.zeros(0, "<u4"), *waiting]), index)
-
-    tokens = stage(tokens.select("doc_id", "ids").mapInArrow(_pack, "doc_id long, ids binary"), "tokens")
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+            rest = list(waiting)
+            rest[:1] = [ids[used:] for ids in rest[:1]]
+            yield row(np.concatenate([np.zeros(0, "<u4"), *rest]), index)
+
+    with text_batches(tokens.sparkSession):
+        tokens = stage(tokens.select("doc_id", "ids").mapInArrow(_pack, "doc_id long, ids binary"), "tokens")
+    by = ["doc_id", F.xxhash64("ids")]
+    ordered = tokens.repartitionByRange(*by).sortWithinPartitions(*by, "ids")
     ordered.mapInArrow(run, _BLOCK_SQL).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -1,14 +1,18 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built in overlapping cluster shards.
 
 1. Equal vectors form classes; one row per class goes on.
-2. Each class goes to every shard whose centre is nearly as close as its nearest.
+2. Each class goes to the shards of its nearest centres, ``COPIES`` at most.
 3. Every shard builds a graph: each vector's nearest, thinned by robust pruning,
    plus pruned far ones. A vector's lists from all its shards are united.
-4. In each shard every vector searches the united graph, from the medoid and
-   from itself: best first, and on through all that lies within the radius.
-5. Links are verified in double precision. A pair counts in the first shard that
-   both share, so no pair is ever emitted: shards send counts and one edge from
-   each vector to the root of its local component.
+4. In each shard vectors search the united graph, from the medoid and from
+   themselves: best first, then on through all that lies within the radius.
+   A search holds its list of candidates, never a row for every vector. A vector
+   represents those within half the radius of it, whose neighbours all lie within
+   one and a half: they need no search of their own.
+5. What a representative met and those it stands for are compared in double
+   precision, and links count for both ends. A pair counts in the first shard that both share, so no pair is
+   ever emitted: shards send counts and one edge from each vector to the
+   root of its local component.
 
 Shards above ``SHARD_ROWS`` fall into tiles; each pair of tiles is a unit of its own.
 """
@@ -28,13 +32,18 @@ from stowline.llm.components import components
 from stowline.llm.vectors import matrix, unusable, usable
 from stowline.sources.staging import most_rows, stage
 
-#: Classes in the sample that centres are fitted on, centres, and rows aimed at in a shard.
+#: Classes in the sample that centres are fitted on, centres, and classes aimed at in a shard.
 SAMPLE, CENTRES, SHARD = 20_000, 4096, 1000
 #: Shards above this many rows are tiled.
 SHARD_ROWS = 4096
-#: A class joins all shards whose centre is at most so much less similar than its nearest.
-SLACK = 0.10
-NEAR, FAR, CANDIDATES, BEAM, ALPHA = 16, 6, 48, 8, 1.2
+#: A class joins the shards of so many nearest centres, if they are at most so much less similar than the nearest.
+COPIES, SLACK = 3, 0.10
+#: Near and far edges of a vector, candidates for them, and the slack of pruning.
+NEAR, FAR, CANDIDATES, ALPHA = 16, 6, 48, 1.2
+#: Candidates of a search, and vectors it goes on from in a step.
+BEAM, STEP = 12, 3
+#: Vectors searched for at a time, and compared at a time.
+BLOCK, COMPARED = 512, 100_000
 
 
 def near_vectors(rows: DataFrame, at_least: float = 0.95, vec_id: str = "vec_id",
@@ -104,7 +113,8 @@ def _units(classes: DataFrame, centres: np.ndarray) -> DataFrame:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 alike = _unit(matrix(part.column(2))) @ centres.T
-                shards = [np.nonzero(row >= row.max() - SLACK)[0].tolist() for row in alike]
+                shards = [sorted(order[row[order] >= row[order[0]] - SLACK].tolist()) for row, order in zip(
+                    alike, np.argsort(-alike, axis=1, kind="stable")[:, :COPIES], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shards, pa.list_(pa.int32()))],
                                                  ["rep", "n", "vec", "shards"])
 
@@ -161,6 +171,45 @@ def _prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, keep: in
     return [row[mask].tolist() for row, mask in zip(candidates, picked, strict=True)]
 
 
+def _beam(points: np.ndarray, graph: np.ndarray, queries: np.ndarray,
+          start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of all queries in step: the ``BEAM`` best vectors met by each (-1: none) and their cosines.
+
+    ``start`` has the vectors each search begins with.
+    """
+    b = len(queries)
+    ids = np.full((b, BEAM), -1, np.int32)
+    ids[:, :start.shape[1]] = start
+    twice = (start[:, 1:] == start[:, :-1])
+    ids[:, 1:start.shape[1]][twice] = -1
+    alike = np.where(ids >= 0, np.einsum("bd,bcd->bc", queries, points[ids]), np.float32(-3))
+    done = ids < 0
+    going = np.arange(b)
+    while len(going):
+        now, near, seen = ids[going], alike[going], done[going]
+        front = np.where(seen, -3, near)
+        best = np.argpartition(-front, STEP - 1, axis=1)[:, :STEP]
+        open_ = np.take_along_axis(front, best, 1) > -3
+        moving = open_.any(axis=1)
+        going, now, near, seen, best, open_ = (x[moving] for x in (going, now, near, seen, best, open_))
+        if not len(going):
+            break
+        np.put_along_axis(seen, best, True, 1)
+        onward = np.where(open_[:, :, None], graph[np.take_along_axis(now, best, 1)], -1).reshape(len(going), -1)
+        onward.sort(axis=1)
+        fresh = onward >= 0
+        fresh[:, 1:] &= onward[:, 1:] != onward[:, :-1]
+        fresh &= ~(onward[:, :, None] == now[:, None, :]).any(axis=2)
+        row, column = np.nonzero(fresh)
+        found = np.full(onward.shape, -3, np.float32)
+        found[row, column] = np.einsum("nd,nd->n", queries[going[row]], points[onward[row, column]])
+        ids_, near_ = np.concatenate([now, np.where(fresh, onward, -1)], 1), np.concatenate([near, found], 1)
+        seen_ = np.concatenate([seen, ~fresh], 1)
+        top = np.argpartition(-near_, BEAM - 1, axis=1)[:, :BEAM]
+        ids[going], alike[going], done[going] = (np.take_along_axis(x, top, 1) for x in (ids_, near_, seen_))
+    return np.where(alike > -3, ids, -1), alike
+
+
 def _search(unit: pd.DataFrame, at_least: float) -> pd.DataFrame:
     """Counts of links that this unit owns, and the local root of each vector."""
     unit = unit.sort_values("rep", ignore_index=True)
@@ -168,78 +217,98 @@ def _search(unit: pd.DataFrame, at_least: float) -> pd.DataFrame:
     vectors = _unit(np.array(unit["vec"].tolist()))
     points = vectors.astype(np.float32)
     m = len(reps)
-    lists = [np.searchsorted(reps, x)[np.isin(x, reps)] for x in unit["near"]]
-    graph = np.full((m, max(1, max(map(len, lists)))), m)
-    for at, x in enumerate(lists):
-        graph[at, :len(x)] = x
-    owned = _owner(unit)
+    # The united lists' members in this unit.
+    near = np.concatenate([np.zeros(0, np.int64), *unit["near"]]).astype(np.int64)
+    row, at = np.repeat(np.arange(m), unit["near"].map(len)), np.minimum(np.searchsorted(reps, near), m - 1)
+    row, at = row[reps[at] == near], at[reps[at] == near]
+    counts = np.bincount(row, minlength=m)
+    graph = np.full((m, max(1, counts.max())), -1, np.int32)
+    graph[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = at
     medoid = int((points @ points.mean(axis=0)).argmax())
-    links, label = np.zeros(m, np.int64), np.arange(m)
-    for start in range(0, m, max(1, 300_000 // m)):
-        own = np.arange(start, min(start + max(1, 300_000 // m), m))
-        for q, found in zip(own, _within(points, graph, own, medoid, at_least), strict=True):
-            found = found[found != q]
-            found = found[vectors[found] @ vectors[q] >= at_least]
-            if len(found):
-                links[q] = weights[found[owned(q, found)]].sum()
-                joined = np.unique(label[np.append(found, q)])
-                if len(joined) > 1:
-                    label[np.isin(label, joined)] = joined[0]
-    return pd.DataFrame({"rep": reps, "links": links, "root": reps[label]})
-
-
-def _owner(unit: pd.DataFrame):
+    angle = float(np.arccos(at_least))
+    half, beyond = np.cos(angle / 2), np.cos(min(1.5 * angle, np.pi))
+    waiting = np.ones(m, bool)
+    pairs = [np.zeros(0, np.int64)]
+    while waiting.any():
+        own = np.flatnonzero(waiting)[:BLOCK]
+        # Of vectors that could represent each other the first goes on.
+        close = np.tril(points[own] @ points[own].T >= half, -1)
+        own = own[~close.any(axis=1)]
+        q, v = _within(points, graph, own, medoid, beyond - 0.01)
+        cut = np.searchsorted(q, own)
+        waiting[own] = False
+        for one, met in zip(own, np.split(v, cut[1:]), strict=True):
+            if not len(met):
+                continue
+            alike = vectors[met] @ vectors[one]
+            stands_for = met[(alike >= half) & waiting[met]]
+            waiting[stands_for] = False
+            members, around = np.append(stands_for, one), np.append(met, one)
+            for start in range(0, len(members), BLOCK):
+                some = members[start:start + BLOCK]
+                row, column = np.nonzero(vectors[some] @ vectors[around].T >= at_least)
+                a, b = some[row], around[column]
+                pairs.append(np.unique((np.minimum(a, b) * m + np.maximum(a, b))[a != b]))
+    low, high = np.divmod(np.unique(np.concatenate(pairs)), m)
+    owned = _owned(unit, low, high)
+    links = np.bincount(low[owned], weights[high[owned]], m) + np.bincount(high[owned], weights[low[owned]], m)
+    return pd.DataFrame({"rep": reps, "links": links.astype(np.int64), "root": reps[_label(m, low, high)]})
+
+
+def _label(m: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The smallest vector of each one's component: labels fall along pairs, then along labels."""
+    label = np.arange(m)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, high, label[low])
+        np.minimum.at(label, low, label[high])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _owned(unit: pd.DataFrame, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Whether this unit is the one that counts a pair: the first shard that both are in, and their tiles."""
     own = unit["unit"].iloc[0]
-    shards = unit["shards"].tolist()
-    earlier = [set(int(s) for s in x if s < own["shard"]) for x in shards]
+    most = max(map(len, unit["shards"]))
+    earlier = np.full((len(unit), most), -1)
+    for at, shards in enumerate(unit["shards"]):
+        mine = [s for s in shards if s < own["shard"]]
+        earlier[at, :len(mine)] = mine
+    shared = np.zeros(len(low), bool)
+    for k in range(most):
+        mine = earlier[low, k][:, None]
+        shared |= ((earlier[high] == mine) & (mine >= 0)).any(axis=1)
     tile = unit["tile"].to_numpy()
-
-    def owned(q: int, found: np.ndarray) -> np.ndarray:
-        mine = earlier[q]
-        first = np.array([mine.isdisjoint(earlier[f]) for f in found]) if mine else np.ones(len(found), bool)
-        return first & ((own["i"] == own["j"]) | (tile[found] != tile[q]))
-
-    return owned
+    return ~shared & ((own["i"] == own["j"]) | (tile[low] != tile[high]))
 
 
 def _within(points: np.ndarray, graph: np.ndarray, own: np.ndarray, medoid: int,
-            at_least: float) -> list[np.ndarray]:
-    """For each vector of ``own``, what a search meets within the radius (a little widened).
+            at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) of what searches of ``own`` (ascending) meet within the radius, by query.
 
-    All searches go on in step: each expands its best unexpanded vector while
-    that is among its ``BEAM`` best, and every one within the radius.
+    What a best-first search met within the radius spreads along edges until nothing within it is new.
     """
-    m, b = len(points), len(own)
-    queries = points[own]
-    alike = np.full((b, m + 1), -3, np.float32)  # -3: not met yet; the last column takes the padding
-    done = np.zeros((b, m + 1), bool)
-    done[:, m] = True
-    rows = np.arange(b)
-    alike[rows, medoid] = queries @ points[medoid]
-    alike[rows, own] = 1
-    wide = at_least - 0.02
-    beam = min(BEAM, m)
-    while True:
-        open_ = np.where(done, -3, alike)
-        best = open_.argmax(axis=1)
-        floor = np.partition(alike[:, :m], m - beam, axis=1)[:, m - beam]
-        go = open_ >= wide
-        step = open_[rows, best] >= np.maximum(floor, -2)
-        go[rows[step], best[step]] = True
-        q, v = np.nonzero(go)
-        if not len(q):
-            break
-        done[q, v] = True
-        met = np.zeros((b, m + 1), bool)
-        met[np.repeat(q, graph.shape[1]), graph[v].ravel()] = True
-        met &= alike == -3
-        met[:, m] = False
-        q, v = np.nonzero(met)
-        for at in range(0, len(q), 100_000):
-            qs, vs = q[at:at + 100_000], v[at:at + 100_000]
-            alike[qs, vs] = np.einsum("nd,nd->n", queries[qs], points[vs])
-    return [np.nonzero(row[:m] >= at_least - 1e-4)[0] for row in alike]
+    m = len(points)
+    ids, alike = _beam(points, graph, points[own], np.stack([np.full(len(own), medoid), own], axis=1))
+    row, column = np.nonzero((alike >= at_least) & (ids >= 0))
+    met = np.unique(row * m + ids[row, column])
+    front = met
+    width = max(1, COMPARED // graph.shape[1])
+    while len(front):
+        found = []
+        for start in range(0, len(front), width):
+            row, at = np.divmod(front[start:start + width], m)
+            onward = graph[at]
+            keys = np.unique((row[:, None] * m + onward)[onward >= 0])
+            keys = keys[~np.isin(keys, met, assume_unique=True)]
+            row, at = np.divmod(keys, m)
+            found.append(keys[np.einsum("nd,nd->n", points[own[row]], points[at]) >= at_least])
+        front = np.unique(np.concatenate(found))
+        met = np.union1d(met, front)
+    row, at = np.divmod(met, m)
+    q = own[row]
+    return q[q != at].astype(np.int64), at[q != at].astype(np.int64)
 
 
 def audit_recall(rows: DataFrame, linked: DataFrame, at_least: float = 0.95, queries: int = 200,

@@ -136,6 +136,23 @@ def test_near_vectors(spark, monkeypatch, shard_rows):
     assert near_vectors.audit_recall(frame, near_vectors.near_vectors(frame)) == 1.0
 
 
+def test_near_vectors_in_many_dimensions(spark):
+    """5,000 vectors of 64 dimensions, with groups of near copies of up to 300, in overlapping shards."""
+    draw = np.random.default_rng(9)
+    points = draw.normal(size=(5000, 64))
+    at = 0
+    for size, noise in ((300, 0.12), (100, 0.2), (40, 0.3), (20, 0.05), *[(2, 0.28)] * 100):
+        points[at:at + size] = points[at] + noise * draw.normal(size=(size, 64))
+        at += size
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    frame = spark.createDataFrame(list(enumerate(points.tolist())), "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in near_vectors.near_vectors(frame).collect()}
+    links = np.array([found[i] for i in range(5000)])
+    assert (links <= true).all()
+    assert links.sum() % 2 == 0 and links.sum() >= 0.999 * true.sum() > 50_000
+
+
 def test_unusable_vectors_of_a_repeated_id_stay(spark):
     rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (1, [math.nan, 1.0]), (1, [None, 1.0]), (2, [1.0, 0.01]),
             (None, [1.0, 0.0]), (3, [])]

@@ -2,14 +2,14 @@
 
 A page becomes lines of text, each with the region of markup it lies in. Pages
 of a host stand in the order of their url paths, copies as one; each is aligned
-with its neighbour there by the longest common subsequence of lines, and lines
+with its neighbour there by the longest common subsequence of all their lines, and lines
 that both have are deleted as the site's own.
 
 Pages also repeat each other's articles, and sites choose menus at random, so
-sharing alone neither spares the first nor finds the second. Markup decides
-where it speaks: lines in menus, footers, adverts and the like go whether shared
-or not, and lines inside an article or main element stay. Differencing decides
-all lines that markup leaves open.
+sharing alone neither spares the first nor finds the second. Markup corrects it
+where it speaks: lines in menus, footers, adverts and the like go even if not
+shared, and lines inside an article or main element stay even if shared. All other
+lines, those beside an article too, go if they are shared and stay if not.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowline.llm.common import checked_broadcast, slices
+from stowline import settings
+from stowline.llm.common import slices
 from stowline.llm.urls import url_host, url_path
 from stowline.operators.ordinal import with_ordinal
-from stowline.sources.staging import stage
+from stowline.sources.positions import at_positions
+from stowline.sources.staging import most_rows, stage
 
 OPEN, CONTENT, SITE = 0, 1, 2
 #: While a page is parsed: inside an element of a layout name, and an article or main element in there.
@@ -51,6 +53,8 @@ _HEAD_TAGS = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "no
               "style", "template", "title"}
 #: Matches for each line up to which all are kept, and lines whose places are remembered as numbers.
 MATCHES, FREQUENT = 8, 256
+#: Pages whose neighbours are found together.
+BLOCK = 256
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font",
            "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
@@ -250,82 +254,95 @@ def _rising_partners(own: list[int], other: list[int]) -> list[int]:
 
 
 def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; ``text`` is empty if nothing is left.
+    """(page_id, url, text, n_chars, n_shared) of every row; ``text`` is empty if nothing is left.
 
     A page's neighbour is the one before it by (path, url, page_id) on its host,
-    or the one after it for the first. Pages of a host with the same lines stand
-    together at the first of them, so no page is held against a copy of itself,
-    and copies have the same neighbour. A page alone on its host, copies aside,
-    shares nothing, nor do urls without a host. Null and empty pages have the
-    empty text; repeated rows are pages of their own. If a page has article or
-    main elements, lines outside them go. Other columns are ignored.
+    or the one after it for the first. Pages of a host that differ in nothing but lines that
+    markup excludes stand together at the first of them, which is aligned for all; so no page is
+    held against a copy of itself, and copies have the same text. A page alone on its host,
+    copies aside, shares nothing, nor do urls without a host. Null and empty pages have the
+    empty text; repeated rows are pages of their own. ``n_shared`` counts the lines that markup does
+    not exclude and the neighbour has too, deleted or spared. Other columns are ignored.
     """
     kept = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                         url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"),
                         F.col(html).alias("html"))
     parsed = stage(kept.mapInArrow(_parse, _PARSED).withColumn("row", F.monotonically_increasing_id()), "lines")
-    gone = _shared(parsed.select("row", "page_id", "url", "host", "path", "hashes", "sequence",
-                                 F.array_contains("open", True).alias("has_open")))
-    left = parsed.select("page_id", "url", "host", "sequence", "lines", "open").join(
-        checked_broadcast(gone), ["host", "sequence"], "left")
-    spare = F.filter("lines", lambda line, at: ~(
-        F.element_at("open", (at + 1).cast("int")) & F.coalesce(F.array_contains("shared", at), F.lit(False))))
-    return left.select("page_id", "url", F.array_join(spare, " ").alias("text")).withColumn(
-        "n_chars", F.length("text").cast("long"))
+    left = _with_shared(parsed, _shared(parsed.select("row", "page_id", "url", "host", "path", "sequence", "hashes", "regions")))
+    flags = F.transform(F.split(F.coalesce("_new", F.lit("")), ""), lambda flag: flag == "1")
+    left = left.select("page_id", "url", "lines", "open", flags.alias("shared"))
+    gone = F.zip_with("open", "shared", lambda open_, shared: open_ & shared)
+    # Lines that go become null, which joining leaves out.
+    spare = F.zip_with("lines", gone, lambda line, goes: F.when(~F.coalesce(goes, F.lit(False)), line))
+    return left.select("page_id", "url", F.array_join(spare, " ").alias("text"),
+                       F.size(F.filter("shared", lambda flag: flag)).cast("long").alias("n_shared")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 _PARSED = "page_id long, url string, host string, path string, lines array<string>, open array<boolean>, " \
-          "hashes array<long>, sequence binary"
+          "hashes array<long>, regions binary, sequence binary"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines that markup does not exclude; ``open`` marks those that differencing may delete.
 
-    ``sequence`` is the same for pages of the same lines.
+    ``hashes`` and ``regions`` are of all lines. ``sequence`` is the same for pages of a host
+    of the same lines that markup does not exclude.
     """
     for batch in slices(batches):
-        texts, opens, hashes, sequences = [], [], [], []
-        for html in batch.column(4).to_pylist():
+        texts, opens, hashes, regions, sequences = [], [], [], [], []
+        for html, host in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), strict=True):
             lines = lines_of(html)
-            if any(region == CONTENT for _, region in lines):
-                lines = [x for x in lines if x[1] == CONTENT]
-            lines = [x for x in lines if x[1] != SITE]
-            texts.append([text for text, _ in lines])
-            opens.append([region == OPEN for _, region in lines])
             hashes.append([xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in lines])
-            sequences.append(xxhash.xxh3_128_digest(np.array(hashes[-1], "<i8").tobytes()))
+            regions.append(bytes(region for _, region in lines))
+            texts.append([text for text, region in lines if region != SITE])
+            opens.append([region == OPEN for _, region in lines if region != SITE])
+            own = [h for h, (_, region) in zip(hashes[-1], lines, strict=True) if region != SITE]
+            sequences.append(xxhash.xxh3_128_digest(
+                (host or "").encode() + b"\0" + bytes(opens[-1]) + np.array(own, "<i8").tobytes()))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:4], pa.array(texts, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.bool_())),
-             pa.array(hashes, pa.list_(pa.int64())), pa.array(sequences, pa.binary())],
-            ["page_id", "url", "host", "path", "lines", "open", "hashes", "sequence"])
+             pa.array(hashes, pa.list_(pa.int64())), pa.array(regions, pa.binary()), pa.array(sequences, pa.binary())],
+            ["page_id", "url", "host", "path", "lines", "open", "hashes", "regions", "sequence"])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(host, sequence, shared): positions of the lines a page shares with its neighbour, where it shares any; staged.
+    """(sequence, _new): for each line that markup does not exclude, 1 if the neighbour has it too, else 0; staged.
 
-    Pages of a host with the same lines are one row, at the place of the first
-    of them. The rows are numbered in url order over ranges, so a host of any
-    size is spread over tasks; neighbours meet by number, carrying hashes of
-    lines only. Rows without open lines are neighbours but not aligned.
+    Pages that share none have no row. Pages of a host with the same sequence are one row, at the place
+    of the first of them. The rows are numbered in url order over ranges, so a host of any
+    size is spread over tasks; neighbours meet in blocks of numbers, each with the rows at
+    its two edges, carrying hashes of lines only.
     """
-    first = F.min(F.struct("path", "url", "page_id", "row")).alias("first")
+    place = ["path", "url", "page_id", "row"]
     kinds = rows.filter("host != ''").groupBy("host", "sequence").agg(
-        first, F.any_value("hashes").alias("hashes"), F.max("has_open").alias("has_open"))
-    placed = stage(with_ordinal(kinds, ["host", "first"], "at", None)
-                   .select("at", "host", "sequence", "hashes", "has_open"), "placed")
-    before = placed.select((F.col("at") + 1).alias("at"), F.col("host").alias("_h"), F.col("hashes").alias("_b"))
-    after = placed.select((F.col("at") - 1).alias("at"), F.col("host").alias("_g"), F.col("hashes").alias("_a"))
-    paired = placed.filter("has_open").join(before, "at", "left").join(after, "at", "left").select(
-        "host", "sequence", "hashes", F.when(F.col("_h") == F.col("host"), F.col("_b")).when(
-            F.col("_g") == F.col("host"), F.col("_a")).alias("other"))
+        F.min(F.struct(*place, "hashes", "regions")).alias("first")).select("host", "sequence", "first.*")
+    placed = with_ordinal(kinds, ["host", *place], "at", None).drop(*place)
+    block = ((F.col("at") - 1) / BLOCK).cast("long")
+    edges = F.when(F.col("at") % BLOCK == 0, F.array(block, block + 1)).when(
+        F.col("at") % BLOCK == 1, F.array(block, block - 1)).otherwise(F.array(block))
+    line = Window.partitionBy("_in").orderBy("at")
+    paired = placed.withColumns({"_own": block, "_in": F.explode(edges)}).withColumns({
+        "other": F.when(F.lag("host").over(line) == F.col("host"), F.lag("hashes").over(line)).when(
+            F.lead("host").over(line) == F.col("host"), F.lead("hashes").over(line))}).filter("_own = _in")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shared_lines(own, other) for own, other in zip(
-                batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))],
-                                             ["host", "sequence", "shared"])
-
-    pairs = paired.filter("other is not null and size(hashes) > 0 and size(other) > 0")
-    return stage(pairs.mapInArrow(align, "host string, sequence binary, shared array<int>").filter(
-        "size(shared) > 0"), "shared")
+            found = []
+            for own, regions, other in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                flags = bytearray(b"0" * len(own))
+                for at in shared_lines(own, other):
+                    flags[at] = ord("1")
+                found.append(bytes(flag for flag, region in zip(flags, regions, strict=True) if region != SITE).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["sequence", "_new"])
+
+    pairs = paired.filter("size(hashes) > 0 and size(other) > 0").select("sequence", "hashes", "regions", "other")
+    return stage(pairs.mapInArrow(align, "sequence binary, _new string").filter("instr(_new, '1') > 0"), "shared")
+
+
+def _with_shared(parsed: DataFrame, shared: DataFrame) -> DataFrame:
+    """``parsed`` (staged) plus ``_new``, its flags of ``shared``, without a shuffle of texts where that can be had."""
+    if most_rows(shared) <= settings.broadcast_rows(parsed.sparkSession):
+        return parsed.join(F.broadcast(shared), "sequence", "left")
+    found = at_positions(parsed, shared, "sequence")
+    return parsed.join(shared, "sequence", "left") if found is None else found

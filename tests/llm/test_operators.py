@@ -238,6 +238,21 @@ def test_copies_of_a_page_are_not_its_neighbours(spark):
                          + [(7, "site line alone last")] * 2 + [(None, "site line no url last")] * 2, key=repr)
 
 
+@pytest.mark.parametrize("broadcast, block", [(None, 256), (0, 2)])
+def test_every_page_is_differenced_and_markup_corrects_it(spark, limits, monkeypatch, broadcast, block):
+    limits(broadcast=broadcast)
+    monkeypatch.setattr(page_text, "BLOCK", block)
+    page = "<nav>menu {}</nav><div>site line</div><article><p>same<p>{}</article><div>beside {}</div><footer>f</footer>"
+    rows = [(i, f"http://a.com/{i}", page.format(i, f"own {i}", i)) for i in range(9)]
+    rows += [(9, "http://a.com/8?x", page.format("other", "own 8", 8))]  # another menu, else a copy
+    rows += [(10, "http://b.com/1", "<nav>Home</nav><p>x"), (11, "http://b.com/2", "<div>Home</div><p>y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: (r.text, r.n_shared) for r in page_text.page_texts(frame).collect()}
+    # The site's line beside the article goes, what only this page has beside it stays, and the shared line inside is spared.
+    assert [out[i] for i in range(9)] == [(f"same own {i} beside {i}", 2) for i in range(9)] and out[9] == out[8]
+    assert out[10] == ("x", 0) and out[11] == ("y", 1)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     draw = random.Random(2)
     for _ in range(200):

@@ -1,9 +1,10 @@
 """Phrase collocations by the stripes pattern.
 
 A stripe is one prefix (one to four words) with an associative counter of the
-words that follow it. Tasks count stripes locally, flush them at a bounded size,
-and stripes of a prefix are merged elementwise as they stream out of a sorted
-shuffle. The merged stripes give the counts of all extensions, which are the
+words that follow it. Tasks count stripes locally, flush them at a bounded size
+as blocks, one for each hash of prefixes, and the stripes of a block are merged elementwise
+as its parts stream out of a sorted shuffle. So the rows shuffled are those of tasks and blocks, not
+of tasks and prefixes, which both grow with the corpus. The merged stripes give the counts of all extensions, which are the
 totals of the prefixes one word longer, and the largest extension of each
 prefix, which decides subsumption.
 
@@ -47,16 +48,19 @@ HELD, LOOK = 500_000, 50_000
 PAIRS = 4_000_000
 #: A prefix above this share of all words is split, into so many slots a share.
 HOT, SLOTS = 1000, 4
+#: Pairs and triples that may be frequent for each block of stripes, which a task merges at a time.
+BLOCK = 4096
 #: Candidates of one language ranked in one task of the first round.
 RANKED = 200_000
 
 # The separators of pieces become line feeds, the other blanks spaces, A-Z lower case; bytes of UTF-8.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
-# Words that follow a prefix, joined by spaces, and their counts as 64-bit numbers.
-_STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("slot", pa.int32()),
-                     ("next", pa.binary()), ("counts", pa.binary())])
-_STRIPE_SQL = "lang string, prefix binary, slot int, next binary, counts binary"
+# Stripes of a block: prefixes a line each, slots as 32-bit numbers, words that follow a prefix joined by
+# spaces, a line for each prefix, and all their counts as 64-bit numbers. No word has a line feed or a space.
+_BLOCK = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("prefixes", pa.binary()), ("slots", pa.binary()),
+                    ("next", pa.binary()), ("counts", pa.binary())])
+_BLOCK_SQL = "lang string, block int, prefixes binary, slots binary, next binary, counts binary"
 Stripes = dict[bytes, dict[bytes, int]]
 
 
@@ -83,12 +87,14 @@ def collocations(docs: DataFrame, at_least: int = 100, first: int = 2000, covere
         words = stage(_count_words(docs), "words", words=F.sum("n"))
         often = stage(words.filter(F.col("n") >= at_least).select("lang", F.col("word").alias("phrase"), "n"), "often")
         frequent = _filter(stage(often.select("lang", "phrase").mapInArrow(_hashed, "h long"), "hashes"))
-        filters = [frequent]
+        filters, maybe = [frequent], 0
         for _ in range(2, HASHED_WORDS + 1):
-            hashes = _count_hashes(docs, filters).filter(F.col("n") >= at_least).select("h")
-            filters.append(_filter(stage(hashes, "hashes")))
+            hashes = stage(_count_hashes(docs, filters).filter(F.col("n") >= at_least).select("h"), "hashes")
+            filters.append(_filter(hashes))
+            maybe += most_rows(hashes)
         slots = _slots(often, measures_of(words)["words"] or 0)
-        stripes = _merged(_stripes(docs, filters, slots), at_least)
+        blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-maybe // BLOCK))
+        stripes = _merged(_stripes(docs, filters, slots, blocks), at_least)
 
     phrases = stage(_extensions(stripes), "phrases")
     lengths = words.groupBy("lang").agg(F.sum("n").alias("n"))  # one row per language
@@ -279,8 +285,11 @@ def _slots(often: DataFrame, total: int) -> dict[tuple[str, bytes], int]:
             for lang, phrase, n in often.filter(F.col("n") > share).collect()}
 
 
-def _stripes(docs: DataFrame, filters: list[Maybe], slots: dict[tuple[str, bytes], int]) -> DataFrame:
-    """Partial stripes (lang, prefix, slot, next, counts) of what may be frequent."""
+def _stripes(docs: DataFrame, filters: list[Maybe], slots: dict[tuple[str, bytes], int], blocks: int) -> DataFrame:
+    """(lang, prefix, next, counts): stripes of what may be frequent, a hot prefix with a row for each of its slots.
+
+    They are shuffled in ``blocks`` by the hash of prefix and slot, and a block's parts merged elementwise.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,10 +318,12 @@ def _stripes(docs: DataFrame, filters: list[Maybe], slots: dict[tuple[str, bytes
                     if seen >= LOOK:
                         seen = 0
                         if sum(sum(map(len, s.values())) for s in held.values()) >= HELD:
-                            yield from _sent(held, hot)
-        yield from _sent(held, hot)
+                            yield from _sent(held, hot, blocks)
+        yield from _sent(held, hot, blocks)
 
-    return docs.mapInArrow(run, _STRIPE_SQL)
+    keys = ["lang", "block"]
+    return docs.mapInArrow(run, _BLOCK_SQL).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _merging, "lang string, prefix binary, next array<binary>, counts array<long>")
 
 
 def _count_run(words: list[bytes], start: int, longest: list[int], stripes: Stripes) -> None:
@@ -329,10 +340,10 @@ def _count_run(words: list[bytes], start: int, longest: list[int], stripes: Stri
             stripe[after] = stripe.get(after, 0) + 1
 
 
-def _sent(held: dict[str, Stripes], hot: dict[tuple[str, bytes], int]) -> Iterator[pa.RecordBatch]:
-    """The held stripes as rows, hot ones in slots; ``held`` keeps its empty dicts."""
-    rows = []
+def _sent(held: dict[str, Stripes], hot: dict[tuple[str, bytes], int], blocks: int) -> Iterator[pa.RecordBatch]:
+    """The held stripes as rows of blocks, hot ones in slots; ``held`` keeps its empty dicts."""
     for lang, stripes in held.items():
+        rows: dict[int, tuple[list, list, list, list]] = {}
         for prefix, counts in stripes.items():
             slots = hot.get((lang, prefix.split(b" ", 1)[0]), 1)
             parts: dict[int, tuple[list, list]] = {}
@@ -343,60 +354,57 @@ def _sent(held: dict[str, Stripes], hot: dict[tuple[str, bytes], int]) -> Iterat
                     some = parts.setdefault(zlib.crc32(word) % slots, ([], []))
                     some[0].append(word)
                     some[1].append(n)
-            rows += [(lang, prefix, slot, b" ".join(words), np.array(some, "<i8").tobytes())
-                     for slot, (words, some) in parts.items()]
-            if len(rows) >= 5000:
-                yield _batch(rows)
-                rows = []
+            for slot, (words, some) in parts.items():
+                block = rows.setdefault(zlib.crc32(prefix, slot) % blocks, ([], [], [], []))
+                block[0].append(prefix)
+                block[1].append(slot)
+                block[2].append(b" ".join(words))
+                block[3].extend(some)
         stripes.clear()
-    if rows:
-        yield _batch(rows)
+        while rows:
+            some = [rows.popitem() for _ in range(min(256, len(rows)))]
+            yield _batch([(lang, block, b"\n".join(prefixes), np.array(slots, "<i4").tobytes(), b"\n".join(words),
+                           np.array(counts, "<i8").tobytes()) for block, (prefixes, slots, words, counts) in some])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STRIPE, strict=True)],
-                                      schema=_STRIPE)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCK, strict=True)],
+                                      schema=_BLOCK)
+
+
+def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole stripes; the parts of a block follow each other."""
+    now, merged = None, {}
+
+    def done() -> Iterator[pa.RecordBatch]:
+        stripes = [(prefix, list(counts), list(counts.values())) for (prefix, _), counts in merged.items()]
+        for start in range(0, len(stripes), 5000):
+            prefixes, words, counts = zip(*stripes[start:start + 5000], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([now[0]] * len(prefixes), pa.string()), pa.array(prefixes, pa.binary()),
+                 pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))],
+                ["lang", "prefix", "next", "counts"])
+
+    for batch in slices(batches, 16):
+        for lang, block, prefixes, slots, lines, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != (lang, block):
+                yield from done()
+                now, merged = (lang, block), {}
+            numbers = iter(np.frombuffer(raw, "<i8").tolist())
+            for prefix, slot, words in zip(prefixes.split(b"\n"), np.frombuffer(slots, "<i4").tolist(),
+                                           lines.split(b"\n"), strict=True):
+                counts = merged.setdefault((prefix, slot), {})
+                for word, n in zip(words.split(b" "), numbers):
+                    counts[word] = counts.get(word, 0) + n
+    yield from done()
 
 
 def _merged(stripes: DataFrame, at_least: int) -> DataFrame:
-    """(lang, prefix, next, counts, most): stripes merged elementwise, without entries below ``at_least``; staged.
-
-    A hot prefix has a row for each of its slots.
-    """
-    names = ["lang", "prefix", "next", "counts", "most"]
-    kinds = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        for (lang, prefix, _), counts in _merging(batches):
-            kept = {word: n for word, n in counts.items() if n >= at_least}
-            if kept:
-                done.append((lang, prefix, list(kept), list(kept.values()), max(kept.values())))
-            if len(done) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)], names)
-                done = []
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)], names)
-
-    keys = ["lang", "prefix", "slot"]
-    return stage(stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        run, "lang string, prefix binary, next array<binary>, counts array<long>, most long"), "stripes")
-
-
-def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[bytes, int]]]:
-    """(key, counts) of each key, whose partial stripes follow each other."""
-    key, counts = None, {}
-    for batch in slices(batches, 512):
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for lang, prefix, slot, words, raw in zip(*columns, strict=True):
-            if key != (lang, prefix, slot):
-                if key is not None:
-                    yield key, counts
-                key, counts = (lang, prefix, slot), {}
-            for word, n in zip(words.split(), np.frombuffer(raw, "<i8").tolist(), strict=True):
-                counts[word] = counts.get(word, 0) + n
-    if key is not None:
-        yield key, counts
+    """(lang, prefix, next, counts, most): the stripes without entries below ``at_least``; staged."""
+    kept = stripes.select("lang", "prefix", F.filter(
+        F.arrays_zip("next", "counts"), lambda entry: entry["counts"] >= at_least).alias("kept")).filter("size(kept) > 0")
+    return stage(kept.select("lang", "prefix", F.col("kept.next").alias("next"), F.col("kept.counts").alias("counts"),
+                             F.array_max("kept.counts").alias("most")), "stripes")
 
 
 def _extensions(stripes: DataFrame) -> DataFrame:

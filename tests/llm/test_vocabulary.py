@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -101,6 +102,23 @@ def test_scores_beyond_64_bits(spark):
     assert [r[0] for r in table.select(score).collect()] == [1000 * a * n // (x * y) for a, n, x, y in rows]
 
 
+def test_stripes_travel_in_blocks():
+    """A task sends a row for each block, however many prefixes it has; merged, the counts are whole."""
+    def held():
+        return {"en": {b"p%d" % i: {b"a": i + 1, b"b%d" % i: 2} for i in range(5000)}, "de": {b"x y": {b"z": 1}}}
+
+    sent = [batch for _ in range(3) for batch in collocations._sent(held(), {("en", b"p7"): 3}, 16)]
+    assert sum(batch.num_rows for batch in sent) == 3 * (16 + 1)
+    parts = pa.Table.from_batches(sent).sort_by([("lang", "ascending"), ("block", "ascending")])
+    found: dict = {}
+    for batch in collocations._merging(iter(parts.to_batches())):
+        for lang, prefix, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault((lang, prefix), []).extend(zip(words, counts, strict=True))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        (lang, prefix): sorted((w, 3 * n) for w, n in counts.items())
+        for lang, stripes in held().items() for prefix, counts in stripes.items()}
+
+
 def test_stripes_hold_all_extensions(docs, monkeypatch):
     """The merged stripes count every frequent extension; nothing that is rare by its triples is in a stripe."""
     seen = {}
